@@ -167,13 +167,13 @@ def _digests(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = EDGE) -> DataFrame:
+def repeated_spans(texts: DataFrame, k: int = EDGE) -> DataFrame:
     """(doc, spans): for each document with repeats, the verified stretches (start, n edges).
 
-    docs: doc_id, text. doc is doc_id, or the least long for null. Rows with the
-    same doc_id count as one place; they are never repeats of each other.
+    texts: doc (a long, not null), text and any others. Rows with the same doc
+    count as one place; they are never repeats of each other.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+    docs = texts.select(F.col("doc").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(chars / 6 * 7.5) // GROUP_BYTES + 1)
     filed = docs.mapInArrow(_file(parts, k), "part long, seeds binary, docs binary, starts binary, sizes binary, marks binary, repeats binary")
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame, k: int = EDGE) -> DataFrame:
     spans = cut(spans)
     wanted = spans.select("doc", "start", "n").union(spans.select("source", "source_start", "n")).distinct()
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    # all columns, so that the texts are dealt out once for this and for the caller's join
     digests = texts.join(wanted.hint("shuffle_hash"), "doc").mapInArrow(_digests(k), "doc long, start long, n long, digest binary").groupBy("doc", "start", "n").agg(F.max("digest").alias("digest"))
     there = digests.select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n", F.col("digest").alias("source_digest"))
     held = spans.join(digests, ["doc", "start", "n"]).join(there, ["source", "source_start", "n"]).where("digest = source_digest")
@@ -231,12 +231,9 @@ def remove_repeats(docs: DataFrame, k: int = EDGE, digest: bool = False) -> Data
     kept words joined by one space. Null text: no words, a null kept text.
     Texts of fewer than k words stay. Null doc_id: before all others.
     """
-    spans = repeated_spans(docs, k)
-    key = "_span_doc"
-    spans = spans.select(F.col("doc").alias(key), F.col("spans"))
     rest = [c for c in docs.columns if c != "text"]
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias(key))
-    joined = plain.join(spans.hint("shuffle_hash"), key, "left").drop(key)
+    texts = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
+    joined = texts.join(repeated_spans(texts, k).hint("shuffle_hash"), "doc", "left").drop("doc")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
     out = joined.mapInArrow(_kept(k, digest), schema)
