@@ -14,10 +14,11 @@ that differ in fewer features than there are parts agree on a whole part.
   that each set gives its first k + 1. A set with no more than k filled parts
   gives all of them and its single features besides. No similar pair is lost.
 * Texts with equal sets are one class from the start; only classes are joined.
-  A bucket (classes under one signature) gives links from its least member
-  first; pairs inside a bucket that are still apart are compared afterwards, by
-  parity bitmaps whose differing bits bound the difference from below. What may
-  still be similar is intersected exactly.
+  In a bucket (classes under one signature) the least member leads. Each class
+  is first compared with the leaders it shares the most buckets with, in rounds;
+  pairs in a bucket that are still apart afterwards are compared by parity
+  bitmaps, whose differing bits bound the difference from below, and pairs that
+  pass are intersected exactly.
 
 Feature, set and signature hashes have 64 bits.
 """
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .components import components
@@ -38,6 +39,8 @@ U = np.uint64
 WORDS = 5
 BUCKET_BYTES = 24 << 20  # aimed at for one group of signatures
 BROADCAST_ROWS = 500_000  # ids sent to all executors at most; above, a shuffled join
+LEADERS = 2  # that a class is compared with in one round
+STAR_ROUNDS = 3  # of that; what is apart then is compared pair by pair
 SIGN_BYTES = 8 << 20  # text signed at a time
 
 
@@ -75,9 +78,9 @@ def class_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(values: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of features is i modulo the length, a power of two >= the size."""
+    """Bit i: whether an odd number of features is i modulo the length, a power of two >= 4 times the size."""
     m = 64
-    while m < len(values):
+    while m < 4 * len(values):
         m *= 2
     counts = np.bincount((values & U(m - 1)).astype(np.int64), minlength=m)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -246,14 +249,16 @@ def _apart(table: pa.Table) -> pa.Table:
             rows = np.flatnonzero(width == m)
             top = np.searchsorted(size, 4 * size[rows[-1]] // 3, "right")
             others = np.arange(rows[0], top)
-            folded = np.stack([_fold(bits[i], m) for i in others])
+            coarse = max(m // 4, 8)
+            folded = np.stack([_fold(bits[i], coarse) for i in others])
             for i in rows:
                 to = np.searchsorted(size, 4 * size[i] // 3, "right") - rows[0]
                 at = i - rows[0] + 1
                 if to <= at:
                     continue
-                far = np.bitwise_count(folded[at:to] ^ bits[i]).sum(1, dtype=np.int64)
+                far = np.bitwise_count(folded[at:to] ^ folded[i - rows[0]]).sum(1, dtype=np.int64)
                 j = others[at:to][(7 * far <= size[i] + size[others[at:to]]) & (root[others[at:to]] != root[i])]
+                j = j[[7 * int(np.bitwise_count(_fold(bits[x], m) ^ bits[i]).sum()) <= size[i] + size[x] for x in j]] if len(j) else j
                 out_a.append(np.full(len(j), who[i]))
                 out_b.append(who[j])
     a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
@@ -304,17 +309,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = docs.mapInArrow(_sign(parts), "part long, signs binary, classes binary")
     buckets = signed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<bigint>").dropDuplicates(["bucket"])
     buckets = cut(buckets)
-    spokes = cut(buckets.select("bucket", F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")))
-    tried = cut(_near(spokes.select("a", "b").distinct(), nodes))
-    links = cut(_verified(tried, docs, nodes))
-    found = components(links)
-    # buckets with a spoke that isn't a link: their other pairs may link all the same
-    open_ = spokes.join(links, ["a", "b"], "left_anti").select("bucket").distinct()
-    members = buckets.join(open_, "bucket", "left_semi").where("size(members) > 2").select("bucket", F.explode("members").alias("node"))
-    members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    flat = cut(buckets.select("bucket", F.col("members")[0].alias("a"), F.explode("members").alias("node")))
+    spokes = cut(flat.where("a <> node").groupBy("a", F.col("node").alias("b")).count())
+    best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+    links, found, tried = None, None, None
+    for _ in range(STAR_ROUNDS):
+        left = spokes
+        if found is not None:
+            root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
+            left = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+            left = left.where("coalesce(root_a, a) <> coalesce(root_b, b)")
+        chosen = cut(left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("a", "b"))
+        if chosen.isEmpty():
+            break
+        tried = chosen if tried is None else cut(tried.union(chosen))
+        new = _verified(cut(_near(chosen, nodes)), docs, nodes)
+        links = cut(new if links is None else links.union(new))
+        found = components(links)
+    if links is None:
+        links = tried = cut(spokes.select("a", "b"))  # no two classes share a signature
+        found = components(links)
+    # a bucket whose members aren't all connected yet may hold other links
+    members = flat.select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
+    members = members.join(open_, "bucket", "left_semi")
     members = members.join(nodes.select(F.col("class").alias("node"), "n_shingles", "bits"), "node")
     rest = members.groupBy("bucket").applyInArrow(_apart, "a long, b long").distinct()
-    rest = cut(rest.join(links, ["a", "b"], "left_anti"))
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     more = _verified(rest, docs, nodes)
     found = components(links.union(more))
     joined = nodes.join(found, nodes["class"] == found["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))

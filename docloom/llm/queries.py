@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import html_text, language, pieces, urls
 from .jaccard import jaccard_components
+from .scoring import backoff_scores
 from .substring import remove_repeats
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,17 +18,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out())
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "coverage")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(_table(spark, sf_dir, "documents"), decoded=True)
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "round_trip")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_html_text": op7_html_text,
+    "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -42,6 +72,14 @@ link AS (SELECT a, b FROM rare JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op6_lm_scoring": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i > 1 THEN ws[i - 1] END)) AS h FROM w),
+one AS (SELECT x, count(*) AS c FROM t GROUP BY x), two AS (SELECT h, x, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, x HAVING count(*) >= 2),
+total AS (SELECT count(*) AS n FROM t)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, round(coalesce(s.log_score, 0), 4) AS log_score FROM w LEFT JOIN (
+  SELECT t.doc_id, sum(CASE WHEN t.h IS NULL THEN ln(one.c / total.n) WHEN two.c IS NOT NULL THEN ln(two.c / prev.c) ELSE ln(0.4) + ln(one.c / total.n) END) AS log_score
+  FROM t JOIN one ON one.x = t.x LEFT JOIN one prev ON prev.x = t.h LEFT JOIN two ON two.h = t.h AND two.x = t.x CROSS JOIN total GROUP BY t.doc_id) s ON s.doc_id = w.doc_id""",
     "op10_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 win AS (

@@ -32,8 +32,8 @@ from .storage import cut
 U = np.uint64
 EDGE = 20  # words of a window
 SEED = 8  # words of a minimizer
-COMBINE_BYTES = 8 << 20  # text whose repeats are found before anything is shuffled
-GROUP_BYTES = 24 << 20  # aimed at for one group of units
+COMBINE_BYTES = 4 << 20  # text whose repeats are found before anything is shuffled
+GROUP_BYTES = 16 << 20  # aimed at for one group of units
 NULL_ID = -(2**63)
 
 
