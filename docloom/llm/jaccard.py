@@ -14,7 +14,7 @@ that differ in fewer features than there are parts agree on a whole part.
   that each set gives its first k + 1. A set with no more than k filled parts
   gives all of them and its single features besides. No similar pair is lost.
 * Texts with equal sets are one class from the start; only classes are joined.
-  In a bucket (classes under one signature) the least member leads. Each class
+  In a bucket (classes under one signature) a central member leads. Each class
   is first compared with the leaders it shares the most buckets with, in rounds;
   pairs in a bucket that are still apart afterwards are compared by parity
   bitmaps, whose differing bits bound the difference from below, and pairs that
@@ -40,7 +40,7 @@ WORDS = 5
 BUCKET_BYTES = 24 << 20  # aimed at for one group of signatures
 BROADCAST_ROWS = 500_000  # ids sent to all executors at most; above, a shuffled join
 LEADERS = 2  # that a class is compared with in one round
-STAR_ROUNDS = 3  # of that; what is apart then is compared pair by pair
+STAR_ROUNDS = 2  # of that; what is apart then is compared pair by pair
 SIGN_BYTES = 8 << 20  # text signed at a time
 
 
@@ -309,17 +309,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = docs.mapInArrow(_sign(parts), "part long, signs binary, classes binary")
     buckets = signed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<bigint>").dropDuplicates(["bucket"])
     buckets = cut(buckets)
-    flat = cut(buckets.select("bucket", F.col("members")[0].alias("a"), F.explode("members").alias("node")))
-    spokes = cut(flat.where("a <> node").groupBy("a", F.col("node").alias("b")).count())
+    flat = buckets.select("bucket", F.size("members").alias("size"), F.explode("members").alias("node"))
+    # a bucket's leader is the member with the most company over all its buckets: in a group of
+    # near copies that is the text they come from, which more of them are similar to
+    company = flat.groupBy("node").agg(F.sum("size").alias("company"))
+    flat = cut(flat.join(company, "node"))
+    lead = flat.groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
+    spokes = cut(flat.join(lead, "bucket").where("a <> node").groupBy("a", F.col("node").alias("b")).count())
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     links, found, tried = None, None, None
     for _ in range(STAR_ROUNDS):
         left = spokes
         if found is not None:
             root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
-            left = left.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+            either = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            left = left.join(either, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
             left = left.where("coalesce(root_a, a) <> coalesce(root_b, b)")
-        chosen = cut(left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("a", "b"))
+        chosen = cut(left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if chosen.isEmpty():
             break
         tried = chosen if tried is None else cut(tried.union(chosen))
@@ -327,7 +333,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         links = cut(new if links is None else links.union(new))
         found = components(links)
     if links is None:
-        links = tried = cut(spokes.select("a", "b"))  # no two classes share a signature
+        links = tried = spokes.select("a", "b")  # no two classes share a signature
         found = components(links)
     # a bucket whose members aren't all connected yet may hold other links
     members = flat.select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
