@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html_text, language, pieces, quality, urls
+from . import chat, decontaminate, html_text, language, pieces, quality, urls
 from .jaccard import jaccard_components
 from .scoring import backoff_scores
 from .substring import remove_repeats
@@ -55,6 +55,16 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: the items that leak into it, and how many of those have changed slots."""
+    docs = _table(spark, sf_dir, "documents")
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.sum(F.when(F.col("n_changed") > 0, 1).otherwise(0)).alias("n_reworded"))
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    return out.select("doc_id", F.col("items").isNotNull().alias("leaked"), F.size(items).cast("long").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("items"), F.coalesce("n_reworded", F.lit(0)).cast("long").alias("n_reworded"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -72,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_html_text": op7_html_text,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
