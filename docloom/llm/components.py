@@ -55,9 +55,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node with an edge; root is the least node of its component.
 
     edges: long columns a and b without nulls, in any direction, repeats and
-    loops allowed. No edges give no rows.
+    loops allowed; they are read twice, so come checkpointed. No edges give no rows.
     """
-    now, before = cut(edges.select("a", "b").where("a <> b")), None
+    now, before = edges.select("a", "b").where("a <> b"), None
     while True:
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, total) == before or not n:

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .storage import lean
+
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -306,4 +308,4 @@ def extract(pages: DataFrame) -> DataFrame:
     and misnested markup is rendered as far as it goes; a stray `<` is text.
     Null page_id and repeated rows are kept. Other columns are ignored.
     """
-    return pages.select("page_id", "html").mapInArrow(_render, "page_id long, text string")
+    return lean(pages).select("page_id", "html").mapInArrow(_render, "page_id long, text string")

@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import cut
+from .storage import cut, lean
 
 U = np.uint64
 WORDS = 5
-BUCKET_BYTES = 24 << 20  # aimed at for one group of signatures
+BUCKET_BYTES = 8 << 20  # aimed at for one group of signatures
 BROADCAST_ROWS = 500_000  # ids sent to all executors at most; above, a shuffled join
 LEADERS = 2  # that a class is compared with in one round
 STAR_ROUNDS = 2  # of that; what is apart then is compared pair by pair
-SIGN_BYTES = 8 << 20  # text signed at a time
+SIGN_BYTES = 4 << 20  # text signed at a time
 
 
 def shingle_sets(words: K.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +212,8 @@ def _buckets(table: pa.Table) -> pa.Table:
     _, first = np.unique(named, return_index=True)
     index = np.concatenate([np.arange(at[i], at[i + 1]) for i in first])
     members = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[first]))).astype(np.int32)), pa.array(who[index]))
+    del sign, who, order, same, near, index
+    K.tidy()
     return pa.table({"bucket": K.signed(named[first]), "members": members})
 
 
@@ -301,15 +303,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Null doc_id: kept, and first in the order. Repeated rows give repeated rows.
     Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     described = cut(docs.mapInArrow(_describe, "doc_id long, n_shingles long, class long, bits binary"))
     nodes = cut(described.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")))
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(8, int(total * 0.45 * 16) // BUCKET_BYTES + 1)
     signed = docs.mapInArrow(_sign(parts), "part long, signs binary, classes binary")
     buckets = signed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<bigint>").dropDuplicates(["bucket"])
-    buckets = cut(buckets)
-    flat = buckets.select("bucket", F.size("members").alias("size"), F.explode("members").alias("node"))
+    flat = cut(buckets).select("bucket", F.size("members").alias("size"), F.explode("members").alias("node"))
     # a bucket's leader is the member with the most company over all its buckets: in a group of
     # near copies that is the text they come from, which more of them are similar to
     company = flat.groupBy("node").agg(F.sum("size").alias("company"))
@@ -328,9 +329,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         chosen = cut(left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if chosen.isEmpty():
             break
-        tried = chosen if tried is None else cut(tried.union(chosen))
-        new = _verified(cut(_near(chosen, nodes)), docs, nodes)
-        links = cut(new if links is None else links.union(new))
+        tried = chosen if tried is None else tried.union(chosen)
+        new = cut(_verified(cut(_near(chosen, nodes)), docs, nodes))
+        links = new if links is None else links.union(new)
         found = components(links)
     if links is None:
         links = tried = spokes.select("a", "b")  # no two classes share a signature
@@ -342,8 +343,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = members.join(nodes.select(F.col("class").alias("node"), "n_shingles", "bits"), "node")
     rest = members.groupBy("bucket").applyInArrow(_apart, "a long, b long").distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    more = _verified(rest, docs, nodes)
-    found = components(links.union(more))
+    found = components(links.union(cut(_verified(rest, docs, nodes))))
     joined = nodes.join(found, nodes["class"] == found["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = joined.join(least, "root").select("class", "component_id")

@@ -8,6 +8,8 @@ Hashes are 64 bits: a polynomial over a byte table, finished by a mixer.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +28,18 @@ _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finisher on 64-bit values; salt gives independent ones."""
     x = x + U((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -139,6 +153,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             at = to
+    tidy()
 
 
 def ids(column: pa.Array) -> np.ndarray:

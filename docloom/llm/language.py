@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels as K
+from .storage import lean
 
 U = np.uint64
 SLOTS = 1 << 20
@@ -75,6 +76,7 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
             rows = batch.slice(at, to - at)
             yield rows, rows.column("text").to_pylist()
             at = to
+    K.tidy()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from the rows of docs (doc_id, text, lang) that are usable and have text and lang."""
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    labelled = lean(docs).where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return Model((), np.zeros((SLOTS, 1), np.uint8), np.zeros(0))
@@ -162,7 +164,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     to the first name. A text with letters but no known n-gram gets the first
     language with score 0.
     """
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, coverage double")
+    return lean(docs).select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, coverage double")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,7 +177,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             yield rows.filter(pa.array(good))
 
     names = docs.columns
-    return docs.mapInArrow(run, docs.schema).select(*[f"`{x}`" for x in names])
+    return lean(docs).mapInArrow(run, docs.schema).select(*[f"`{x}`" for x in names])
 
 
 def held_out() -> Column:

@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .storage import lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BLOCK_BYTES = 4 << 20  # text encoded at a time
 CACHED_WORDS = 400_000  # encodings kept from one block to the next
+RESIDENT_WORDS = 200_000  # and by the process from one partition to the next
+CACHED_PAIRS = 500_000
 UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
@@ -113,34 +116,48 @@ class Pieces:
     def _fits(self, a: str, b: str) -> bool:
         found = self._pairs.get((a, b))
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > CACHED_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(a + b) == [a, b]
+            found = self._pairs[a, b] = self._own(b) and self.merged(a + b) == [a, b]
         return found
 
-    def _extend(self, word: str, end: int) -> tuple[float, int, bytes]:
-        """State of the prefix of length end from the states of the shorter ones."""
-        states, index, best = self._states, self.index, None
-        for start in range(max(0, end - self._reach.get(word[max(0, end - 2) : end], 1 if end < 2 else 2)), end):
-            piece = word[start:end]
-            if start < end - 1 and piece not in index:
-                continue
-            if self.merging:
+    def _extend_merging(self, word: str, begin: int) -> None:
+        """States of the prefixes of lengths begin and more: the one piece that ends there in their encodings."""
+        states, index, pairs, packed, reach = self._states, self.index, self._pairs, self._packed, self._reach
+        for end in range(begin, len(word) + 1):
+            longest = reach.get(word[end - 2 : end], 2) if end > 1 else 1
+            for start in range(end - longest if end > longest else 0, end):
+                piece = word[start:end]
+                if piece not in index and start < end - 1:
+                    continue
                 if not start:
                     if self._own(piece):
-                        return 0.0, 0, self._packed[piece]
+                        states.append((0.0, 0, packed[piece]))
+                        break
                     continue
                 before = states[start]
-                fits = self._pairs.get((word[before[1] : start], piece))
-                if fits or (fits is None and self._own(piece) and self._fits(word[before[1] : start], piece)):
-                    return 0.0, start, before[2] + self._packed[piece]
+                last = word[before[1] : start]
+                fits = pairs.get((last, piece))
+                if fits is None:
+                    fits = self._fits(last, piece)
+                if fits:
+                    states.append((0.0, start, before[2] + packed[piece]))
+                    break
             else:
-                score = states[start][0] + self.score.get(piece, -1e3)
+                raise AssertionError(f"no piece ends at {end} of {word!r}")
+
+    def _extend_scored(self, word: str, begin: int) -> None:
+        """States of the prefixes of lengths begin and more: the best sum of scores."""
+        for end in range(begin, len(word) + 1):
+            best = None
+            for start in range(max(0, end - self.longest), end):
+                piece = word[start:end]
+                if start < end - 1 and piece not in self.index:
+                    continue
+                score = self._states[start][0] + self.score.get(piece, -1e3)
                 if best is None or score > best[0]:
-                    best = (score, start, states[start][2] + self._packed[piece])
-        if best is None:
-            raise AssertionError(f"no piece ends at {end} of {word!r}")
-        return best
+                    best = (score, start, self._states[start][2] + self._packed[piece])
+            self._states.append(best)
 
     def encode_next(self, word: str) -> bytes:
         """Packed ids of a word; states shared with the word before are reused."""
@@ -149,8 +166,7 @@ class Pieces:
         while not word.startswith(before[:common]):
             common -= 1
         del states[common + 1 :]
-        for end in range(common + 1, len(word) + 1):
-            states.append(self._extend(word, end))
+        (self._extend_merging if self.merging else self._extend_scored)(word, common + 1)
         self._word = word
         return states[-1][2]
 
@@ -180,6 +196,12 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, tables: tuple[np.ndarray, np
     return [x[1:] if x.startswith(" ") else x for x in texts]
 
 
+def _shorten(cache: dict[str, bytes], n: int) -> None:
+    """Leave the first n; the first to come are the most frequent."""
+    for x in list(cache)[n:]:
+        del cache[x]
+
+
 def _encode(vocabulary: Pieces, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary.resident()
@@ -194,9 +216,8 @@ def _encode(vocabulary: Pieces, decoded: bool):
                 texts = rows.column("text").to_pylist()
                 units = [UNITS.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
                 new = set(chain.from_iterable(units))
-                if len(cache) > CACHED_WORDS:  # the first to come are the most frequent
-                    for x in list(cache)[CACHED_WORDS // 2 :]:
-                        del cache[x]
+                if len(cache) > CACHED_WORDS:
+                    _shorten(cache, CACHED_WORDS // 2)
                 new.difference_update(cache)
                 cache.update(own.encode_words(new))
                 packed = [b"".join(map(cache.__getitem__, x)) for x in units]
@@ -209,6 +230,9 @@ def _encode(vocabulary: Pieces, decoded: bool):
                     back = decode_ids(ids, bounds, tables)
                     columns += [pa.array(back, pa.string()), pa.array([x is None or x == y for x, y in zip(texts, back)])]
                 yield pa.RecordBatch.from_arrays(columns, [*rest, "piece_ids", *["decoded", "round_trip"] * decoded])
+        _shorten(cache, RESIDENT_WORDS)
+        own.reset()
+        K.tidy()
 
     return run
 
@@ -221,7 +245,7 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False, vocabular
     Null doc_id and repeated rows are kept. An empty table gives an empty result.
     """
     vocabulary = vocabulary or Pieces.read(model)
-    return docs.select("doc_id", "text").mapInArrow(_encode(vocabulary, decoded), "doc_id long, piece_ids array<int>" + ", decoded string, round_trip boolean" * decoded)
+    return lean(docs).select("doc_id", "text").mapInArrow(_encode(vocabulary, decoded), "doc_id long, piece_ids array<int>" + ", decoded string, round_trip boolean" * decoded)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, vocabulary: Pieces | None = None) -> DataFrame:

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
+from .storage import lean
 
 U = np.uint64
 ORDER = 2
 BACKOFF = 0.4
 MIN_COUNT = 2
 CHUNK_BYTES = 6 << 20  # text of a chunk, about
-GROUP_BYTES = 24 << 20  # n-grams of a partition, about
+GROUP_BYTES = 12 << 20  # n-grams of a partition, about
 
 
 def _grams(words: K.Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +159,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     rows are scored and counted each. An empty table gives an empty result.
     A history counts if its own n-gram does.
     """
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(4, size // CHUNK_BYTES + 1)
     parts = max(8, int(size / 6 * order * 7) // GROUP_BYTES + 1)

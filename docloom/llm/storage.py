@@ -26,3 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+ROWS_PER_BATCH = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands texts to Python in batches of ROWS_PER_BATCH rows at most, for long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > ROWS_PER_BATCH:
+        df.sparkSession.conf.set(key, str(ROWS_PER_BATCH))
+    return df

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
-from .storage import cut
+from .storage import cut, lean
 
 U = np.uint64
 EDGE = 20  # words of a window
 SEED = 8  # words of a minimizer
-COMBINE_BYTES = 4 << 20  # text whose repeats are found before anything is shuffled
-GROUP_BYTES = 16 << 20  # aimed at for one group of units
+COMBINE_BYTES = 3 << 20  # text whose repeats are found before anything is shuffled
+GROUP_BYTES = 6 << 20  # aimed at for one group of units
 NULL_ID = -(2**63)
 
 
@@ -146,6 +146,8 @@ def _first_places(table: pa.Table) -> pa.Table:
     mark = mark[np.repeat(at, n) + step]
     _, found = _repeats((mark, np.repeat(seed[units], n)), np.repeat(doc[units], n), np.repeat(start[units], n) + step)
     columns = [np.concatenate(x) for x in zip(found, *passed)]
+    del seed, doc, start, mark, order, same, shared, step, found, passed
+    K.tidy()
     return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("doc", "start", "n", "source", "source_start"), columns)})
 
 
@@ -232,7 +234,7 @@ def remove_repeats(docs: DataFrame, k: int = EDGE, digest: bool = False) -> Data
     Texts of fewer than k words stay. Null doc_id: before all others.
     """
     rest = [c for c in docs.columns if c != "text"]
-    texts = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
+    texts = lean(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     joined = texts.join(repeated_spans(texts, k).hint("shuffle_hash"), "doc", "left").drop("doc")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
