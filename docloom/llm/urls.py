@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = 50_000
+MIN_COUNT = 3  # a rarer token is no word of its own, but may be made of words
 LONGEST = 24
 # fixed values: the rules of the contract, and seed words of unwanted hosts
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -143,7 +144,7 @@ def _classes(segmenter: Segmenter):
 def fit(pages: DataFrame) -> tuple[Segmenter, Bayes]:
     """Word frequencies and classes from all urls of pages."""
     urls = pages.select("url").where(F.col("url").isNotNull())
-    frequent = urls.mapInArrow(_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    frequent = urls.mapInArrow(_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY)
     counts = {r["word"]: r["n"] for r in frequent.toLocalIterator()}
     for word in SEEDS:
         counts[word] = counts.get(word, 0) + SEED_WEIGHT
