@@ -31,8 +31,8 @@ from .storage import lean
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BLOCK_BYTES = 4 << 20  # text encoded at a time
-CACHED_WORDS = 400_000  # encodings kept from one block to the next
-RESIDENT_WORDS = 200_000  # and by the process from one partition to the next
+CACHED_WORDS = 800_000  # encodings kept from one block to the next
+RESIDENT_WORDS = 100_000  # and by the process from one partition to the next
 CACHED_PAIRS = 500_000
 UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
