@@ -20,12 +20,12 @@ class Catalog:
         self.spark = spark
         self.frames: dict[str, DataFrame] = {}
         self.configs: dict[str, CollectionConfig] = {}
+        self.folder: str | None = None
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, configs: dict[str, CollectionConfig]) -> Catalog:
         catalog = cls(spark)
-        for name, config in configs.items():
-            catalog.add(name, spark.read.parquet(f"{folder}/{name}.parquet"), config)
+        catalog.folder, catalog.configs = folder, dict(configs)
         return catalog
 
     def add(self, name: str, frame: DataFrame, config: CollectionConfig | None = None) -> Catalog:
@@ -33,8 +33,11 @@ class Catalog:
         return self
 
     def frame(self, name: str) -> DataFrame:
+        """The collection's frame; a Parquet one is opened when it is first asked for."""
         if name not in self.frames:
-            raise PlanError(f"no collection named {name}")
+            if self.folder is None or name not in self.configs:
+                raise PlanError(f"no collection named {name}")
+            self.frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.frames[name]
 
     def config(self, name: str) -> CollectionConfig:
@@ -47,13 +50,13 @@ class Catalog:
 
     def record_counts(self, *names: str) -> DataFrame:
         """(collection, record_count), one row for each collection."""
-        parts = [self.frame(n).agg(F.count("*").alias("record_count")).select(F.lit(n).alias("collection"), "record_count") for n in names or sorted(self.frames)]
+        parts = [self.frame(n).agg(F.count("*").alias("record_count")).select(F.lit(n).alias("collection"), "record_count") for n in names or sorted(self.configs)]
         return reduce(DataFrame.union, parts)
 
     def register_views(self) -> None:
         """Each collection as a temporary view for spark.sql."""
-        for name, frame in self.frames.items():
-            frame.createOrReplaceTempView(name)
+        for name in self.configs:
+            self.frame(name).createOrReplaceTempView(name)
 
 
 class Query:
