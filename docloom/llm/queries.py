@@ -113,12 +113,17 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id""",
     "op6_lm_scoring": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
-t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i > 1 THEN ws[i - 1] END)) AS h FROM w),
-one AS (SELECT x, count(*) AS c FROM t GROUP BY x), two AS (SELECT h, x, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, x HAVING count(*) >= 2),
+t AS (SELECT doc_id, unnest(ws) AS x, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i > 1 THEN ws[i - 1] END)) AS h, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i > 2 THEN ws[i - 2] END)) AS g FROM w),
+one AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+two AS (SELECT h, x, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, x HAVING count(*) >= 2),
+three AS (SELECT g, h, x, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY g, h, x HAVING count(*) >= 2),
 total AS (SELECT count(*) AS n FROM t)
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, round(coalesce(s.log_score, 0), 4) AS log_score FROM w LEFT JOIN (
-  SELECT t.doc_id, sum(CASE WHEN t.h IS NULL THEN ln(one.c / total.n) WHEN two.c IS NOT NULL THEN ln(two.c / prev.c) ELSE ln(0.4) + ln(one.c / total.n) END) AS log_score
-  FROM t JOIN one ON one.x = t.x LEFT JOIN one prev ON prev.x = t.h LEFT JOIN two ON two.h = t.h AND two.x = t.x CROSS JOIN total GROUP BY t.doc_id) s ON s.doc_id = w.doc_id""",
+  SELECT t.doc_id, sum(
+    CASE WHEN three.c IS NOT NULL THEN ln(three.c / history.c) ELSE CASE WHEN t.g IS NOT NULL THEN ln(0.4) ELSE 0 END +
+    CASE WHEN two.c IS NOT NULL THEN ln(two.c / prev.c) ELSE CASE WHEN t.h IS NOT NULL THEN ln(0.4) ELSE 0 END + ln(one.c / total.n) END END) AS log_score
+  FROM t JOIN one ON one.x = t.x LEFT JOIN one prev ON prev.x = t.h LEFT JOIN two ON two.h = t.h AND two.x = t.x
+  LEFT JOIN two history ON history.h = t.g AND history.x = t.h LEFT JOIN three ON three.g = t.g AND three.h = t.h AND three.x = t.x CROSS JOIN total GROUP BY t.doc_id) s ON s.doc_id = w.doc_id""",
     "op10_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 win AS (

@@ -11,7 +11,9 @@ chunk sends its distinct n-gram hashes and counts to the partition of the hash;
 the partition is the count table, adds up and sends the totals back to the
 chunks that asked; a chunk then joins them to its exploded n-grams and sums by
 document. A frequent n-gram is one row a chunk, however often it occurs. Rows
-are packed arrays: one for each chunk and partition.
+are packed arrays: one for each chunk and partition. The partition is taken from
+the low half of the hash and the upper 48 bits tell n-grams apart inside it;
+ascending as they are, only the steps of their upper 16 bits are sent.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from . import kernels as K
 from .storage import lean
 
 U = np.uint64
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 CHUNK_BYTES = 6 << 20  # text of a chunk, about
 GROUP_BYTES = 12 << 20  # n-grams of a partition, about
+DENSE = 1024  # keys from which steps are shorter than the keys' upper bits
 
 
 def _grams(words: K.Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -43,8 +46,25 @@ def _grams(words: K.Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _part(grams: np.ndarray, parts: int) -> np.ndarray:
-    return ((grams >> U(32)) % U(parts)).astype(np.int64)
+def _filed(grams: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Ascending n-grams by partition, ascending in each: their order, and (partition, begin, end) of each stretch."""
+    part = ((grams & U(2**32 - 1)) % U(parts)).astype(np.min_scalar_type(parts))
+    by = np.argsort(part, kind="stable")
+    part = part[by]
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(by) else np.empty(0, np.int64)
+    return by, list(zip(part[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(by)]))
+
+
+def _packed_keys(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of ascending n-grams: 32 as they are, the 16 above as steps where these are short."""
+    low, high = (grams >> U(16)).astype(np.uint32), (grams >> U(48)).astype(np.int64)
+    return low.tobytes() + (high.astype(np.uint16).tobytes() if len(grams) < DENSE else _packed(np.diff(high, prepend=0)))
+
+
+def _unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    low, rest = np.frombuffer(raw[: 4 * n], np.uint32), raw[4 * n :]
+    high = np.frombuffer(rest, np.uint16) if n < DENSE else np.cumsum(_unpacked(rest, n))
+    return (high.astype(U) << U(32)) | low
 
 
 def _chunk_counts(words_list: list[K.Words], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -61,22 +81,21 @@ def _ask(parts: int, order: int):
     def run(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         words = [w for _, w in _words_of(table)]
-        rows = {"chunk": [chunk], "part": [-1], "n": [0], "grams": [b""], "counts": [np.array([sum(len(w.starts) for w in words)], np.int64).tobytes()]}
+        rows = {"chunk": [chunk], "part": [-1], "n": [0], "size": [0], "grams": [b""], "counts": [np.array([sum(len(w.starts) for w in words)], np.int64).tobytes()]}
         for n, (grams, counts) in enumerate(_chunk_counts(words, order), 1):
-            part = _part(grams, parts)
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(part[by]) != 0)) if len(by) else []
-            for a, b in zip(cuts, [*cuts[1:], len(by)]):
-                for name, value in zip(rows, (chunk, int(part[by[a]]), n, grams[by[a:b]].tobytes(), counts[by[a:b]].astype(np.uint32).tobytes())):
+            by, stretches = _filed(grams, parts)
+            grams, counts = grams[by], counts[by]
+            for part, a, b in stretches:
+                for name, value in zip(rows, (chunk, part, n, b - a, _packed_keys(grams[a:b]), _packed(counts[a:b]))):
                     rows[name].append(value)
-        return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "part": pa.array(rows["part"], pa.int64()), "n": pa.array(rows["n"], pa.int32()), "grams": pa.array(rows["grams"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
+        return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "part": pa.array(rows["part"], pa.int64()), "n": pa.array(rows["n"], pa.int32()), "size": pa.array(rows["size"], pa.int32()), "grams": pa.array(rows["grams"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
 
     return run
 
 
 def _total(table: pa.Table) -> pa.Table:
     """The count table of one partition and its answers. Partition -1 adds up the words."""
-    part, chunks, orders = table["part"][0].as_py(), table["chunk"].to_pylist(), table["n"].to_pylist()
+    part, chunks, orders, lengths = table["part"][0].as_py(), *(table[c].to_pylist() for c in ("chunk", "n", "size"))
     answers: list[bytes] = [b""] * len(chunks)
     if part == -1:
         total = sum(int(np.frombuffer(x, np.int64)[0]) for x in table["counts"].to_pylist())
@@ -84,8 +103,8 @@ def _total(table: pa.Table) -> pa.Table:
     else:
         for n in set(orders):
             rows = [i for i, x in enumerate(orders) if x == n]
-            grams = [np.frombuffer(table["grams"][i].as_py(), U) for i in rows]
-            counts = np.concatenate([np.frombuffer(table["counts"][i].as_py(), np.uint32) for i in rows]).astype(np.int64)
+            grams = [_unpacked_keys(table["grams"][i].as_py(), lengths[i]) for i in rows]
+            counts = np.concatenate([_unpacked(table["counts"][i].as_py(), lengths[i]) for i in rows])
             sizes = np.cumsum([0, *map(len, grams)])
             joined = np.concatenate(grams)
             by = np.argsort(joined, kind="stable")
@@ -122,12 +141,10 @@ def _score(parts: int, order: int, backoff: float):
         total = int(np.frombuffer(given[-1, 0], np.int64)[0])
         tables = []
         for n, (grams, _) in enumerate(_chunk_counts([w for _, w in rows], order), 1):
-            part = _part(grams, parts)
-            by = np.argsort(part, kind="stable")
+            by, stretches = _filed(grams, parts)
             counts = np.empty(len(grams), np.int64)
-            cuts = np.flatnonzero(np.append(True, np.diff(part[by]) != 0)) if len(by) else []
-            for a, b in zip(cuts, [*cuts[1:], len(by)]):
-                counts[by[a:b]] = _unpacked(given[int(part[by[a]]), n], b - a)
+            for part, a, b in stretches:
+                counts[by[a:b]] = _unpacked(given[part, n], b - a)
             tables.append((grams, counts))
         out = [[], [], []]
         for block, words in rows:
@@ -164,6 +181,6 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     chunks = max(4, size // CHUNK_BYTES + 1)
     parts = max(8, int(size / 6 * order * 7) // GROUP_BYTES + 1)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(parts, order), "chunk long, part long, n int, grams binary, counts binary")
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(parts, order), "chunk long, part long, n int, size int, grams binary, counts binary")
     told = asked.groupBy("part").applyInArrow(_total, "chunk long, part long, n int, totals binary")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(parts, order, backoff), "doc_id long, n_words long, log_score double")
