@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import cut
+from .storage import column, cut
 
 WINDOW = 8
 SHARE = 0.5
@@ -99,4 +99,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks; all columns stay. Rows with a null doc_id stay."""
     held = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(held, "doc_id", "left_anti").select(*map(column, docs.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import cut, lean
+from .storage import column, cut, lean
 
 U = np.uint64
 WORDS = 5
@@ -354,4 +354,4 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component; all columns stay. Rows with a null doc_id stay."""
     drop = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(*map(column, docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels as K
-from .storage import lean
+from .storage import column, lean
 
 U = np.uint64
 SLOTS = 1 << 20
@@ -176,8 +176,10 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             good = (counts > 0) & ((hits.max(1) if hits.shape[1] else np.zeros(len(texts))) >= LOW_COVERAGE * counts)
             yield rows.filter(pa.array(good))
 
-    names = docs.columns
-    return lean(docs).mapInArrow(run, docs.schema).select(*[f"`{x}`" for x in names])
+    # plain names inside, as a name with a dot can't be handed to Python
+    inside = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    renamed = lean(docs).select(*[column(c).alias(x) for c, x in zip(docs.columns, inside)])
+    return renamed.mapInArrow(run, renamed.schema).select(*[F.col(x).alias(c) for c, x in zip(docs.columns, inside)])
 
 
 def held_out() -> Column:

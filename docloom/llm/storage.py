@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 ROWS_PER_BATCH = 1000
 
 

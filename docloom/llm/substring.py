@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
-from .storage import cut, lean
+from .storage import column, cut, lean
 
 U = np.uint64
 EDGE = 20  # words of a window
@@ -223,8 +223,18 @@ def _kept(k: int, digest: bool):
     return run
 
 
+def _removed(docs: DataFrame, k: int, digest: bool) -> DataFrame:
+    """The columns of docs but for text as c0, c1, ..., and n_words, n_removed and kept."""
+    rest = [c for c in docs.columns if c != "text"]
+    texts = lean(docs).select(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
+    joined = texts.join(repeated_spans(texts, k).hint("shuffle_hash"), "doc", "left").drop("doc")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
+    return joined.mapInArrow(_kept(k, digest), schema)
+
+
 def remove_repeats(docs: DataFrame, k: int = EDGE, digest: bool = False) -> DataFrame:
-    """The rows of docs without text, and n_words, n_removed and kept.
+    """The rows of docs without text, and n_words, n_removed and kept, which replace columns of docs named so.
 
     A word goes if a window of k words that covers it also starts earlier
     (smaller doc_id, or same document and earlier start), judged on the input.
@@ -233,10 +243,19 @@ def remove_repeats(docs: DataFrame, k: int = EDGE, digest: bool = False) -> Data
     kept words joined by one space. Null text: no words, a null kept text.
     Texts of fewer than k words stay. Null doc_id: before all others.
     """
+    own = ["n_words", "n_removed", "kept"]
     rest = [c for c in docs.columns if c != "text"]
-    texts = lean(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
-    joined = texts.join(repeated_spans(texts, k).hint("shuffle_hash"), "doc", "left").drop("doc")
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
-    out = joined.mapInArrow(_kept(k, digest), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "n_words", "n_removed", "kept")
+    return _removed(docs, k, digest).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest) if c not in own], *own)
+
+
+def without_repeats(docs: DataFrame, k: int = EDGE) -> DataFrame:
+    """The rows of docs, with all columns, whose texts are those that remove_repeats keeps.
+
+    n_chars, if there is one, is counted again for a text that lost words; a
+    text that lost all of its words goes with its row.
+    """
+    done = _removed(docs, k, False).where("n_removed = 0 or n_removed < n_words")
+    at = {c: F.col(f"c{i}") for i, c in enumerate(c for c in docs.columns if c != "text")}
+    if "n_chars" in at:
+        at["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(at["n_chars"])
+    return done.select(*[at.get(c, F.col("kept")).alias(c) for c in docs.columns])

@@ -324,6 +324,24 @@ def test_url_rules_and_words(spark):
     assert got[100] == got[200] == "block" and got[5] == got[201] == "allow" and got[None] == "block"
 
 
+CLASHES = "n_words n_removed kept doc class part words item_id at shift count spans wanted digest node root rep component_id n_shingles bits held both c0 h n source_start seed bucket members lang_pred piece_ids a.b".split()
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named like those that the operators make or use inside stay as they are."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wide = docs.withColumns({x: F.lit(f"own {x}") for x in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, SMALL), stage(spark, wide, SMALL)
+        assert out.dtypes == wide.dtypes, name
+        rows = out.collect()
+        assert all(r[x] == f"own {x}" for r in rows for x in CLASHES), name
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in rows) == sorted((r.doc_id, r.text, r.n_chars) for r in plain.collect()), name
+    assert pieces.encode(wide).count() == quality.judge(wide).count() == scoring.backoff_scores(wide).count() == wide.count()
+    got = substring.remove_repeats(wide)
+    assert len(set(got.columns)) == len(got.columns) and got.agg(F.sum("n_words")).first()[0] > 0
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
