@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, jaccard, language, pieces, substring
 from docloom.llm.storage import cut
@@ -28,9 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur earlier, n_chars recounted; texts of which nothing is left go."""
-    done = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words").withColumnRenamed("kept", "text")
-    counted = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return counted.select(*docs.columns)
+    return substring.without_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
