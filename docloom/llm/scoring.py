@@ -31,7 +31,7 @@ U = np.uint64
 ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
-CHUNK_BYTES = 6 << 20  # text of a chunk, about
+CHUNK_BYTES = 12 << 20  # text of a chunk, about
 GROUP_BYTES = 12 << 20  # n-grams of a partition, about
 DENSE = 1024  # keys from which steps are shorter than the keys' upper bits
 
