@@ -41,6 +41,7 @@ CLOSES = {  # an opening element ends these, up to the given borders
 WALLS = frozenset(["table", "td", "th", "caption", "template", "html"])  # an end tag doesn't reach over these
 
 TAG = re.compile(r"""<(?:!--(?:.*?(?:-->|\Z))|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|/?[A-Za-z][^>]*>|[!?/][^>]*>)""", re.S)
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 GAP = re.compile(r"[ \t\n\r\f]+")
@@ -262,7 +263,6 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     page, at, n = _Page(), 0, len(source)
-    low = None
     for_tag = TAG.search
     while at < n:
         m = for_tag(source, at)
@@ -282,10 +282,8 @@ def render(source: str | None) -> str:
         raw = m["attrs"]
         page.open(name, _attributes(raw))
         if name in RAW:
-            low = low or source.lower()
-            end = low.find(f"</{name}", at)
-            if end < 0:
-                end = n
+            m = RAW_END[name].search(source, at)
+            end = m.start() if m else n
             if name in ("textarea", "title"):
                 page.text(source[at:end])
             at = end

@@ -293,6 +293,11 @@ def test_html_layout():
     assert html_text.render("<div>" * 5000 + "deep") == "deep" and html_text.render("</p></table><td>cell</td></b>x") != ""
 
 
+def test_html_raw_end_after_letters_that_grow_in_lower_case():
+    dotted = "\u0130" * 40
+    assert html_text.render(f"<body>{dotted}<script>x</ScRipt><p>seen</p><textarea>a</TEXTAREA><p>end") == f"{dotted}\n\nseen\n\na\n\nend"
+
+
 def test_templates(spark):
     q = "A train leaves Paris at 12:30 and travels 120 km in 2 hours while Anna walks 5 km, how far is it from Anna to the train after 3 hours"
     d = [(1, "Intro here. " + q.replace("120", "340").replace("Anna", "Maria") + " and more."), (2, "Intro. " + q.replace("Anna", "Maria", 1)), (3, q), (4, None), (5, ""), (6, "two words"), (None, q), (7, "nothing of that kind is in this text at all")]
