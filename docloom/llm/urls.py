@@ -7,8 +7,10 @@ and path into words, and multinomial naive Bayes scores them.
 
 The model is fitted here. Word frequencies are those of the tokens between
 separators over all urls; a class comes from seed words among the tokens of the
-host. Both tables keep the VOCABULARY most frequent entries; probabilities of
-others are smoothed. Counts come from all rows, summed before they travel.
+host. Both tables hold every entry and stay distributed: urls are dealt into
+blocks, and a block is joined with the counts of just the substrings, and then
+the weights of just the words, that its urls hold. Counts come from all rows,
+summed before they travel; only their totals reach the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-VOCABULARY = 50_000
+from .storage import cut
+
+BLOCK_BITS = 12  # 2 ** BLOCK_BITS urls share a table of counts
+SENT = 200_000  # substrings that are held before they are sent on
 MIN_COUNT = 3  # a rarer token is no word of its own, but may be made of words
 LONGEST = 24
 # fixed values: the rules of the contract, and seed words of unwanted hosts
@@ -64,8 +69,9 @@ class Rules:
 class Segmenter:
     """Most probable split of a run of letters into words, by unigram Viterbi."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """total: of all counts, where counts has only those of the words that can occur."""
+        total = total or sum(counts.values()) or 1
         self.log = {w: math.log(n / total) for w, n in counts.items() if n > 0}
         self.total = total
         self.seen: dict[str, tuple[str, ...]] = {}
@@ -101,10 +107,11 @@ class Bayes:
 
     counts: dict[str, tuple[int, int]] = field(default_factory=dict)  # word: occurrences in blocked and in allowed urls
     urls: tuple[int, int] = (0, 0)
+    whole: tuple[int, int, int] | None = None  # entries and sums of the whole table, where counts has only a part
 
     def __post_init__(self):
-        size = len(self.counts) + 1
-        sums = [sum(x[i] for x in self.counts.values()) + size for i in (0, 1)]
+        entries, *sums = self.whole or (len(self.counts), *(sum(x[i] for x in self.counts.values()) for i in (0, 1)))
+        sums = [x + entries + 1 for x in sums]
         self.unseen = math.log(sums[1]) - math.log(sums[0])
         self.weight = {w: math.log(a + 1) - math.log(b + 1) + self.unseen for w, (a, b) in self.counts.items()}
         self.prior = math.log(self.urls[0] + 1) - math.log(self.urls[1] + 1)
@@ -123,50 +130,90 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def _classes(segmenter: Segmenter):
-    seeds = set(SEEDS)
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word) for what may be a word of a block's urls."""
+    for batch in batches:
+        found: set[tuple[int, str]] = set()
+        for block, url in zip(batch.column("block").to_pylist(), batch.column("url").to_pylist()):
+            host, path = split_url(url)
+            for run in set(LETTERS.findall(host + "/" + path.lower())):
+                for a in range(len(run)):
+                    found.update((block, run[a:b]) for b in range(a + 1, min(a + LONGEST, len(run)) + 1))
+                    if len(found) >= SENT:
+                        yield _of_blocks(found)
+                        found.clear()
+        yield _of_blocks(found)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word) for the words of a block."""
+    for batch in batches:
+        yield _of_blocks({(block, w) for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()) for w in words})
+
+
+def _of_blocks(found: set[tuple[int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], ["block", "word"])
+
+
+def _segment(total: int):
+    def run(urls: pa.Table, counts: pa.Table) -> pa.Table:
+        segmenter = Segmenter(dict(zip(counts.column("word").to_pylist(), counts.column("n").to_pylist())), total)
+        split = [split_url(url) for url in urls.column("url").to_pylist()]
+        words = [segmenter.words(host, path) for host, path in split]
+        return pa.Table.from_arrays([urls.column("block"), urls.column("page_id"), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(words, pa.list_(pa.string()))], ["block", "page_id", "host", "path", "words"])
+
+    return run
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[tuple[str, int]] = Counter()
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
-                if not host:
-                    continue
-                words = segmenter.words(host, path)
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seeds = set(SEEDS)
+    for batch in batches:
+        counts: Counter[tuple[str, int]] = Counter()
+        for host, words in zip(batch.column("host").to_pylist(), batch.column("words").to_pylist()):
+            if host:
                 kind = 0 if seeds.intersection(words) else 1
                 counts.update((w, kind) for w in ["", *words])
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "kind", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "kind", "n"])
 
-    return run
+
+def word_counts(urls: DataFrame) -> DataFrame:
+    """(word, n) for each token that occurs MIN_COUNT times or more, seeds with their weight added."""
+    frequent = urls.mapInArrow(_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    seeds = urls.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("word"), F.lit(SEED_WEIGHT).cast("long").alias("n"))
+    return frequent.union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _joined(rows: DataFrame, wanted: DataFrame, table: DataFrame, run, schema: str) -> DataFrame:
+    """run over each block's rows and the entries of table that it wants."""
+    part = wanted.distinct().join(table, "word")
+    return rows.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(run, schema)
+
+
+def segmented(pages: DataFrame) -> DataFrame:
+    """(block, page_id, host, path, words) for each row of pages."""
+    urls = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")))
+    counts = cut(word_counts(urls.select("url").where(F.col("url").isNotNull())))
+    total = counts.agg(F.sum("n")).first()[0]
+    return cut(_joined(urls, urls.select("block", "url").mapInArrow(_substrings, "block long, word string"), counts, _segment(total), "block long, page_id long, host string, path string, words array<string>"))
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """(word, block_n, allow_n) over segmented rows; the empty word counts urls."""
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    return rows.select("host", "words").mapInArrow(_classes, "word string, kind int, n long").groupBy("word").agg(of(0).alias("block_n"), of(1).alias("allow_n"))
 
 
-def fit(pages: DataFrame) -> tuple[Segmenter, Bayes]:
-    """Word frequencies and classes from all urls of pages."""
-    urls = pages.select("url").where(F.col("url").isNotNull())
-    frequent = urls.mapInArrow(_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    counts = {r["word"]: r["n"] for r in frequent.toLocalIterator()}
-    for word in SEEDS:
-        counts[word] = counts.get(word, 0) + SEED_WEIGHT
-    segmenter = Segmenter(counts)
-    classes = urls.mapInArrow(_classes(segmenter), "word string, kind int, n long").groupBy("word").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("allow"))
-    by = {r["word"]: (r["block"], r["allow"]) for r in classes.orderBy(F.desc(F.col("block") + F.col("allow")), "word").limit(VOCABULARY).collect()}
-    return segmenter, Bayes({w: x for w, x in by.items() if w}, by.get("", (0, 0)))
-
-
-def _judge(segmenter: Segmenter, bayes: Bayes, rules: Rules):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
-                words = segmenter.words(host, path)
-                odds = bayes.blocks(words) if host else -1.0
-                rule = rules.find(host, path)
-                for column, value in zip(out, (host, path, rule and rule[0], rule[1] if rule else "block" if odds > 0 else "allow", odds, " ".join(words))):
-                    column.append(value)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(x, k) for x, k in zip(out, kinds))], ["page_id", "host", "path", "rule", "verdict", "log_odds", "words"])
+def _judge(urls: tuple[int, int], whole: tuple[int, int, int], rules: Rules):
+    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        bayes = Bayes({w: (a, b) for w, a, b in zip(*(counts.column(c).to_pylist() for c in ("word", "block_n", "allow_n")))}, urls, whole)
+        out: tuple[list, ...] = ([], [], [], [])
+        for host, path, words in zip(*(rows.column(c).to_pylist() for c in ("host", "path", "words"))):
+            odds = bayes.blocks(words) if host else -1.0
+            rule = rules.find(host, path)
+            for column, value in zip(out, (rule and rule[0], rule[1] if rule else "block" if odds > 0 else "allow", odds, " ".join(words))):
+                column.append(value)
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
+        return pa.Table.from_arrays([*(rows.column(c) for c in ("page_id", "host", "path")), *(pa.array(x, k) for x, k in zip(out, kinds))], ["page_id", "host", "path", "rule", "verdict", "log_odds", "words"])
 
     return run
 
@@ -178,5 +225,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     over 0 blocks where no rule fits. Null page_id and repeated rows are kept;
     an empty table gives an empty result. Other columns are ignored.
     """
-    segmenter, bayes = fit(pages)
-    return pages.select("page_id", "url").mapInArrow(_judge(segmenter, bayes, Rules(rules)), "page_id long, host string, path string, rule string, verdict string, log_odds double, words string")
+    rows = segmented(pages)
+    classes = cut(class_counts(rows))
+    word, of_urls = F.col("word") != "", lambda c: F.coalesce(F.max(F.when(F.col("word") == "", F.col(c))), F.lit(0))
+    of_words = lambda c: F.coalesce(F.sum(F.when(word, F.col(c))), F.lit(0))
+    blocked, allowed, *whole = classes.agg(of_urls("block_n"), of_urls("allow_n"), F.count(F.when(word, 1)), of_words("block_n"), of_words("allow_n")).first()
+    wanted = rows.select("block", "words").mapInArrow(_words, "block long, word string")
+    return _joined(rows, wanted, classes, _judge((blocked, allowed), tuple(whole), Rules(rules)), "page_id long, host string, path string, rule string, verdict string, log_odds double, words string")

@@ -329,6 +329,16 @@ def test_url_rules_and_words(spark):
     assert got[100] == got[200] == "block" and got[5] == got[201] == "allow" and got[None] == "block"
 
 
+def test_url_words_beyond_the_most_frequent(spark):
+    """Every word of three occurrences counts, however many words are more frequent."""
+    name = lambda i: "".join("bcdfghjklm"[int(c)] for c in f"{i:05d}")
+    frequent = [(i, "http://" + ".".join(name(j) for j in range(k, k + 1000)) + ".com/") for i, k in enumerate([*range(0, 52000, 1000)] * 4)]
+    rare = [(1000 + i, "http://rare.org/zuvaxo") for i in range(3)] + [(2000, "http://rare.org/zuvaxorare")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(frequent + rare, "page_id long, url string")).where("page_id >= 1000").collect()}
+    assert got[1000].words == "rare org /zuvaxo" and got[2000].words == "rare org /zuvaxo /rare"
+    assert abs(got[2000].log_odds - got[1000].log_odds) > 0.01
+
+
 CLASHES = "n_words n_removed kept doc class part words item_id at shift count spans wanted digest node root rep component_id n_shingles bits held both c0 h n source_start seed bucket members lang_pred piece_ids a.b".split()
 
 
