@@ -1,12 +1,18 @@
 """Operator 8: benchmark decontamination by templates, in DataFrame functions only.
 
-Texts are brought to a canonical form in which numbers, names and units are
-typed placeholders, so a question with other values has the same template.
-Windows of canonical tokens of the documents are hash-joined with those of the
-benchmark. Matches of one document and item on one diagonal (document position
-less item position) are put together; their slots must be consistent: one value
-of the item always stands for the same value of the document, and the other way
-round. An item leaks into a document when SHARE of its windows match there.
+Texts are brought to canonical forms that don't depend on white space. In the
+typed form numbers, units and runs of names are typed placeholders, so a question
+with other values has the same template; in the plain form names are lower-cased
+words, so it doesn't depend on case. Windows of tokens of the documents are
+hash-joined with those of the benchmark, and an item of fewer tokens than a window
+with document windows of its own length.
+
+Matches of one document and item on one diagonal (document position less item
+position) make segments. Segments whose positions rise, on diagonals at most DRIFT
+apart, make chains, as a value of another length moves the diagonal. A chain's
+slots must be consistent: one value of the item always stands for the same value
+of the document, and the other way round. An item leaks into a document when a
+chain holds SHARE of its windows or a run of RUN tokens.
 
 The benchmark's windows are broadcast if they were counted to be few, else they
 are joined by a shuffle. Nothing depends on how many documents hold an item.
@@ -20,6 +26,9 @@ from .storage import column, cut
 
 WINDOW = 8
 SHARE = 0.5
+RUN = 20  # tokens that match without a break and are a leak, however long the item is
+DRIFT = 8  # diagonals between two segments of a chain
+LITERALS = 4  # of a shorter item than a window, for it to be found with other values
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_DOCS = 200_000
 
@@ -29,70 +38,113 @@ UNITS = (
     "seconds minutes hours days weeks months years meters metres miles pounds grams liters litres "
     "percent dollars euros pounds cents usd eur gbp"
 ).split()
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+NUMBER, NAME, UNIT, END = "\x01", "\x02", "\x03", "\x04"  # END closes a run of names
+TYPED, PLAIN, EITHER = 0, 1, 2  # forms; a text without names has one form
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in order; a number, name or unit begins with its type mark and keeps its value."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
+    """Words and numbers in order; a number, run of names or unit begins with its type mark and keeps its value."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x04\s\p{Z}&&[^ ]][\x01-\x04\s\p{Z}]*+| [\x01-\x04\s\p{Z}]++", " ")
     numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}])([0-9]+(?:[.,:/][0-9]+)*)", NUMBER + "$1 ")
     units = F.regexp_replace(numbers, rf"(?i)({NUMBER}[0-9.,:/]+ )\s*({'|'.join(sorted(set(UNITS), key=lambda x: (-len(x), x)))}|[%$€£])(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 ")
     numbers = F.when(text.rlike("[0-9]"), units).otherwise(text)
-    names = F.regexp_replace(numbers, r"(?<=[\p{L}\p{N}][,;:]{0,1} )(\p{Lu}\p{L}+)", NAME + "$1")
-    return F.regexp_extract_all(F.lower(names), F.lit(rf"{NUMBER}[0-9.,:/]+|{NAME}\p{{L}}+|{UNIT}[^\s]+|[\p{{L}}\p{{N}}]+"), F.lit(0))
+    names = F.regexp_replace(numbers, r"(?<=[\p{L}\p{N}][,;:]{0,1} )(\p{Lu}\p{L}++(?: \p{Lu}\p{L}++)*+)", NAME + "$1" + END)
+    return F.regexp_extract_all(F.lower(names), F.lit(rf"{NUMBER}[0-9.,:/]+|{NAME}[^{END}]+|{UNIT}[^\s]+|[\p{{L}}\p{{N}}]+"), F.lit(0))
 
 
 def _is_slot(token: Column) -> Column:
-    return token < "\x04"
+    return token < END
 
 
-def _window_hashes(words: Column, width: int = WINDOW) -> Column:
-    """Hash of the canonical form at each start; one of the whole for a shorter text, none for an empty one."""
-    hashes = F.transform(words, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
-    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
-    whole = lambda h: F.array(F.xxhash64(F.lit("short"), h))
-    by_size = lambda h: F.when(F.size(h) >= width, each(h)).when(F.size(h) > 0, whole(h)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.array(hashes), by_size)[0]
+def _forms(texts: DataFrame, key: str) -> DataFrame:
+    """(key, form, words) for the forms of each text; names are marked in both, one by one in the plain form."""
+    one_by_one = lambda t: F.when(t.startswith(NAME), F.transform(F.split(F.substr(t, F.lit(2)), " "), lambda w: F.concat(F.lit(NAME), w))).otherwise(F.array(t))
+    worded = texts.select(key, F.explode(F.array(tokens(F.col("text")))).alias("words"))
+    plain = F.when(F.exists("words", lambda t: t.startswith(NAME) & t.contains(" ")), F.flatten(F.transform("words", one_by_one))).otherwise(F.col("words"))
+    form = lambda f, words: F.struct(F.lit(f).alias("form"), words.alias("words"))
+    forms = F.when(F.exists("words", lambda t: t.startswith(NAME)), F.array(form(TYPED, F.col("words")), form(PLAIN, plain))).otherwise(F.array(form(EITHER, F.col("words"))))
+    return worded.select(key, F.inline(forms))
 
 
-def _windows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, at, h) for each window."""
-    worded = texts.select(key, tokens(F.col("text")).alias("words"))
-    return worded.select(key, F.posexplode(_window_hashes(F.col("words"))).alias("at", "h"))
+def _bare(token: Column) -> Column:
+    return F.when(token.startswith(NAME), F.substr(token, F.lit(2))).otherwise(token)
+
+
+def _windows(formed: DataFrame, widths: list[int], whole: bool = False) -> DataFrame:
+    """formed's columns but words, with (at, h) for each window; whole: one shorter than WINDOW only where it is the text."""
+    typed = lambda t: F.when(_is_slot(t) & ~((F.col("form") == PLAIN) & t.startswith(NAME)), F.substring(t, 1, 1)).otherwise(_bare(t))
+    hashes = F.transform("words", lambda t: F.xxhash64(typed(t)))
+    rows = lambda h, w: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(h, i + k) for k in range(w)]).alias("h")))
+    fits = lambda h, w: F.size(h) == w if whole and w < WINDOW else F.size(h) >= w
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    each = lambda h: F.concat(*[F.when(fits(h, w), rows(h, w)).otherwise(none) for w in widths])
+    return formed.select(*[c for c in formed.columns if c != "words"], F.inline(F.transform(F.array(hashes), each)[0]))
+
+
+def _chains(segments: Column) -> Column:
+    """The best chain that ends with each of the segments, which are sorted."""
+    kind = "array<struct<n:int,run:int,members:array<struct<lo:int,hi:int,shift:int>>>>"
+
+    def grow(chains: Column, s: Column) -> Column:
+        def follows(c: Column) -> Column:
+            last = F.element_at(c["members"], -1)
+            return (last["hi"] < s["lo"]) & (last["hi"] + last["shift"] < s["lo"] + s["shift"]) & (F.abs(last["shift"] - s["shift"]) <= DRIFT)
+
+        n = s["hi"] - s["lo"] + 1
+        longer = lambda c: F.struct((F.coalesce(c["n"], F.lit(0)) + n).alias("n"), F.greatest(F.coalesce(c["run"], F.lit(0)), n).alias("run"), F.when(c.isNull(), F.array(s)).otherwise(F.concat(c["members"], F.array(s))).alias("members"))
+        return F.concat(chains, F.transform(F.array(F.array_max(F.filter(chains, follows))), longer)).cast(kind)
+
+    return F.aggregate(segments, F.array().cast(kind), grow)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, n_slots, n_changed) for each item that a document holds.
 
     docs: doc_id, text; benchmark: item_id, text; both may have other columns.
-    n_changed counts slots whose value is another than in the item. A text of
-    fewer than eight tokens matches only as a whole. Null or empty texts match
-    nothing; rows with a null doc_id or item_id are left out. Rows with the same
-    doc_id are taken together. Empty tables give an empty result.
+    n_changed counts slots whose value is another than in the item. An item of
+    fewer than eight tokens matches as a whole, anywhere in a document; with other
+    values only if it has LITERALS other tokens or is the whole document. Null or
+    empty texts match nothing; rows with a null doc_id or item_id are left out.
+    Rows with the same doc_id are taken together. Empty tables give an empty result.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    items = cut(benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).select("item_id", "text", tokens(F.col("text")).alias("item_words")))
-    wanted = cut(_windows(items, "item_id").select("item_id", F.col("at").alias("item_at"), "h"))
-    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    items = cut(_forms(benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()), "item_id").where(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(WINDOW))))
+    wanted = cut(_windows(items, list(range(1, WINDOW + 1)), whole=True).select("item_id", F.col("form").alias("item_form"), "width", F.col("at").alias("item_at"), "h"))
+    widths = sorted({WINDOW, *(r["width"] for r in items.select("width").distinct().collect())})
+    sizes = wanted.groupBy("item_id", "item_form").agg(F.count("*").alias("n_windows"))
     few = wanted.count() <= BROADCAST_WINDOWS
-    hits = _windows(docs, "doc_id").join(F.broadcast(wanted) if few else wanted, "h")
-    hits = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"))
-    hits = hits.join(sizes, "item_id").where(F.size("at") >= SHARE * F.col("n_windows"))
-    found = cut(hits.join(items.select("item_id", "item_words"), "item_id"))
-    slotted = found.where(F.exists("item_words", _is_slot))
-    plain = found.where(~F.exists("item_words", _is_slot)).select("doc_id", "item_id", "n_windows", F.size("at").cast("long").alias("n_hits"), F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
-    holders = slotted.select("doc_id").distinct()
+    hits = _windows(_forms(docs, "doc_id"), widths).join(F.broadcast(wanted) if few else wanted, "h")
+    hits = hits.where((F.col("form") == F.col("item_form")) | (F.col("form") == EITHER) | (F.col("item_form") == EITHER))
+    pair = ["doc_id", "form", "item_id", "item_form", "width"]
+    hits = hits.groupBy(*pair, (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"))
+    edges = lambda step: F.sort_array(F.filter("at", lambda x: ~F.array_contains("at", x + step)))
+    segments = F.zip_with(edges(-1), edges(1), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), F.col("shift").alias("shift")))
+    hits = hits.select(*pair, F.size("at").alias("n"), segments.alias("segments")).groupBy(*pair).agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("segments"))).alias("segments"))
+    enough = lambda n, run: (n >= SHARE * F.col("n_windows")) | (run >= RUN - WINDOW + 1)
+    hits = hits.join(sizes, ["item_id", "item_form"]).where(enough(F.col("n"), F.col("n")))
+    chains = F.filter(_chains(F.col("segments")), lambda c: enough(c["n"], c["run"]))
+    found = cut(hits.select(*pair, "n_windows", F.inline(chains)))
+    holders = found.select("doc_id").distinct()
     small = holders.count() <= BROADCAST_DOCS
-    texts = docs.join(F.broadcast(holders) if small else holders, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("doc_words"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1))))
-    slots = F.filter(covered, lambda i: F.coalesce(_is_slot(F.get("item_words", i)), F.lit(False)))
-    pairs = F.transform(slots, lambda i: F.struct(F.get("item_words", i).alias("a"), F.get("doc_words", i + F.col("shift")).alias("b")))
-    checked = slotted.join(texts, "doc_id").select("doc_id", "item_id", "n_windows", F.size("at").cast("long").alias("n_hits"), F.array_distinct(pairs).alias("pairs"))
+    texts = _forms(docs.join(F.broadcast(holders) if small else holders, "doc_id", "left_semi"), "doc_id").withColumnRenamed("words", "doc_words")
+    found = found.join(items.select("item_id", F.col("form").alias("item_form"), F.col("words").alias("item_words")), ["item_id", "item_form"]).join(texts, ["doc_id", "form"])
+
+    def reach(m: Column, j: Column) -> Column:
+        """Item positions of a segment; in the plain form also those since the one before on its diagonal."""
+        before = F.get("members", j - 1)
+        lo = F.when((F.col("item_form") == PLAIN) & (before["shift"] == m["shift"]), before["hi"] + 1).otherwise(m["lo"])
+        return F.transform(F.sequence(lo, m["hi"] + F.col("width") - 1), lambda i: F.struct(F.get("item_words", i).alias("a"), F.get("doc_words", i + m["shift"]).alias("b")))
+
+    pairs = F.filter(F.flatten(F.transform("members", reach)), lambda p: _is_slot(p["a"]) & ((F.substring(p["a"], 1, 1) == F.substring(p["b"], 1, 1)) | (_bare(p["a"]) == _bare(p["b"]))))
+    pairs = F.array_distinct(F.transform(pairs, lambda p: F.struct(_bare(p["a"]).alias("a"), _bare(p["b"]).alias("b"))))
+    literals = F.size(F.filter("item_words", lambda t: ~_is_slot(t)))
+    checked = found.select("doc_id", "item_id", "n_windows", F.col("n").cast("long").alias("n_hits"), pairs.alias("pairs"), ((F.col("width") == WINDOW) | (literals >= LITERALS) | (F.size("doc_words") == F.size("item_words"))).alias("template"))
     different = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     checked = checked.where((different("a") == F.size("pairs")) & (different("b") == F.size("pairs")))
-    checked = checked.select("doc_id", "item_id", "n_windows", "n_hits", F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"))
+    checked = checked.select("doc_id", "item_id", "n_windows", "n_hits", F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"), "template")
+    checked = checked.where(F.col("template") | (F.col("n_changed") == 0))
     best = F.max(F.struct("n_hits", (-F.col("n_changed")).alias("kept"), "n_slots", "n_windows")).alias("best")
-    both = plain.union(checked).groupBy("doc_id", "item_id").agg(best)
+    both = checked.groupBy("doc_id", "item_id").agg(best)
     return both.select("doc_id", "item_id", "best.n_windows", "best.n_hits", F.col("best.n_slots").cast("long").alias("n_slots"), (-F.col("best.kept")).cast("long").alias("n_changed"))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -308,6 +309,19 @@ def test_templates(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {2, 4, 5, 7, None}
 
 
+QUESTION = "Last week Natalia sold small clips to 48 friends in April, and then Natalia sold half as many clips to Jonas in May before Natalia gave Jonas 12 of them"
+
+
+def leaked(spark, texts, items):
+    docs = spark.createDataFrame([(i, f"Some words before. {t} And some other words after it all") for i, t in enumerate(texts)], "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_leaks_whatever_layout_and_case(spark):
+    texts = [QUESTION, QUESTION.lower(), QUESTION.upper(), *(textwrap.fill(QUESTION, n) for n in (20, 60, 65)), QUESTION.replace(" ", "  "), QUESTION.replace(" ", "\u00a0\t")]
+    assert leaked(spark, texts, [QUESTION]) == {(i, 0) for i in range(len(texts))}
+
+
 def test_leaks_equal_plain_search(spark):
     docs = {r.doc_id: " ".join(words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     items = [" ".join(words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
