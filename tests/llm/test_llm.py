@@ -322,6 +322,12 @@ def test_leaks_whatever_layout_and_case(spark):
     assert leaked(spark, texts, [QUESTION]) == {(i, 0) for i in range(len(texts))}
 
 
+def test_short_items_inside_documents(spark):
+    items = ["What is the capital city of France?", "add 5 and 3", "so 7"]
+    texts = [items[0], items[0].lower(), items[0].replace("France", "Spain"), "add 5 and 3", "add 6 and 2", "What is the capital of France?"]
+    assert leaked(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1)}
+
+
 def test_leaks_equal_plain_search(spark):
     docs = {r.doc_id: " ".join(words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     items = [" ".join(words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
