@@ -328,6 +328,12 @@ def test_short_items_inside_documents(spark):
     assert leaked(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1)}
 
 
+def test_leaks_over_moved_diagonals_and_in_parts(spark):
+    words = [f"w{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(59)]
+    texts = [QUESTION.replace("Natalia", "Mary Ann").replace("48", "52"), " ".join(words[20:45]), " ".join(words[20:32]), " ".join(words[:19] + ["one", "more"] + words[19:38] + ["again"] + words[38:57]), QUESTION.replace("Natalia", "Mary Ann", 1).replace("Natalia", "Peter", 1).replace("Natalia", "Jo Ann Lee")]
+    assert leaked(spark, texts, [QUESTION, " ".join(words)]) == {(0, 0), (1, 1), (3, 1)}
+
+
 def test_leaks_equal_plain_search(spark):
     docs = {r.doc_id: " ".join(words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     items = [" ".join(words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
