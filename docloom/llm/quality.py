@@ -25,8 +25,10 @@ MIN_ROWS = 200
 SUBSET = 0.75  # part of the rows that the estimate describes
 STEPS = 4
 FLOOR = (0.06, 0.25, 0.25, 0.15)  # scatter below which differences mean nothing, for each statistic
-CHI_MEDIAN = 3.3567  # median of chi-square with four degrees of freedom
-CUTOFF = 400.0  # squared; far out in the tail, as the statistics of short clean texts spread widely
+# chi-square quantiles, for SUBSET and for 0.999, with one degree of freedom: floors can leave but one statistic
+# that varies, and of all whole degrees one has the farthest tail for the same SUBSET quantile
+CHI_SUBSET = 1.3233
+CUTOFF = 10.8276
 BROADCAST_GROUPS = 50_000
 D = 4
 BINS = 64  # bins to a unit of a statistic, or of the logarithm of a distance
@@ -190,8 +192,8 @@ def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, distance and kept for each row of docs (doc_id, text, lang, source).
 
-    distance: squared Mahalanobis distance, scaled so that its median is that of
-    chi-square; null where the base rules fail. kept: they pass and it is CUTOFF
+    distance: squared Mahalanobis distance, scaled so that its quantile
+    of SUBSET is that of chi-square; null where the base rules fail. kept: they pass and it is CUTOFF
     at most. Null text: no words, failed. Null lang or source: a group of its
     own. Equal rows are judged alike. An empty table gives an empty result.
     Other columns are ignored.
@@ -202,8 +204,8 @@ def judge(docs: DataFrame) -> DataFrame:
     estimates = _small(_start(rows))
     for _ in range(STEPS):
         estimates = _small(_concentrated(rows, estimates))
-    middle = _quantile_bins(_distances(rows, estimates).withColumn("bin", _log_bin()), ["g"], 0.5)
-    scale = _small(middle.select("g", (F.exp((F.col("top") + 0.5) / BINS) / CHI_MEDIAN).alias("scale")))
+    middle = _quantile_bins(_distances(rows, estimates).withColumn("bin", _log_bin()), ["g"], SUBSET)
+    scale = _small(middle.select("g", (F.exp((F.col("top") + 0.5) / BINS) / CHI_SUBSET).alias("scale")))
     passed = _grouped(counted.where("not base_failed").select("*", *_measures()))
     passed = _distances(passed, estimates).join(scale, "g").withColumn("distance", F.col("d2") / F.col("scale"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

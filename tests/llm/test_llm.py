@@ -260,6 +260,18 @@ def test_quality_distances_match_numpy(spark):
     assert np.allclose(got, np.sort(want))
 
 
+def test_quality_outlier_of_each_statistic(spark):
+    rng = random.Random(12)
+    word = lambda k=6: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(k - 3, k + 4)))
+    text = lambda k=6: [" ".join(word(k) for _ in range(12)) for _ in range(12)]
+    phrase = " ".join(word() for _ in range(24))
+    planted = {-1: text(14), -2: [x + " ## $$" for x in text()], -3: [y for x in text() for y in (x, "ok")], -4: [*text(), phrase, phrase]}
+    rows = {i: text() for i in range(300)} | planted
+    kept = {r.doc_id: r.kept for r in quality.judge(docs_of(spark, [(i, "\n".join(x)) for i, x in rows.items()])).where("not base_failed").collect()}
+    assert len(kept) == len(rows) and not any(kept[i] for i in planted)
+    assert sum(kept.values()) >= 297
+
+
 def test_scores_against_brute_force(spark):
     texts = noisy_texts(9, 40)
     each = {i: words(t) for i, t in texts}
