@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.plan import PlanError, Where
+from ..sources.files import Files
 from .predicates import conjunction
 
 
@@ -37,8 +39,22 @@ def conflicts(written: DataFrame, log: DataFrame, key: str, time_field: str, sna
     return written.select(key).distinct().join(newer, key, "left_semi")
 
 
-def upserted(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """base with the rows of changes instead of those of the same key."""
+def last_of_each(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The last row of each key: by a column, which goes, or as the rows come."""
+    by, rest = order or "_come", [c for c in rows.columns if c not in (key, order)]
+    come = rows if order else rows.withColumn("_come", F.monotonically_increasing_id())
+    newest = come.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("_row")) if rest else come.select(key).distinct()
+    return newest.select(*[F.col(f"_row.`{c}`") if c in rest else F.col(f"`{c}`") for c in rows.columns if c != order])
+
+
+def replayed(log: DataFrame, key: str, seq: str = "sequence") -> DataFrame:
+    """Versions of a change log: each entry is a commit of its own, in its order, with commit time and operation number."""
+    return log.withColumns({"_seq": F.col(seq).cast("long"), "_op": F.lit(0)}).where(F.col(key).isNotNull())
+
+
+def upserted(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """base with the rows of changes instead of those of the same key; of several the last, by order if it is given."""
+    changes = last_of_each(changes, key, order)
     return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(changes.select(*base.columns))
 
 
@@ -61,33 +77,56 @@ class Conflict(RuntimeError):
     pass
 
 
+class TooOld(PlanError):
+    pass
+
+
+@dataclass(frozen=True)
+class Base:
+    """What a compaction wrote: a folder with all that snapshots from oldest to last need."""
+
+    folder: str = ""
+    oldest: int = 0
+    last: int = 0
+
+
 class VersionStore:
-    """Commits of one collection: Parquet folders named by sequence, visible once their manifest row is there.
+    """Commits of one collection: Parquet folders, visible once their manifest entry is there.
 
-    Each commit writes data first and its manifest last, by Hadoop's file system
-    with an exclusive create, so two writers can't take one sequence and a
-    failed commit is invisible. Records are rows of a fixed schema.
+    A commit writes its data under a name of its own and then publishes the entry
+    of its sequence, which only one writer can; the others look for conflicts
+    again and try the next one. A writer that dies leaves an unnamed folder and
+    nothing else. A compaction publishes a base in the same way; folders that
+    nothing names any more go by vacuum(). Records are rows of a fixed schema.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "id"):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-        jvm = spark.sparkContext._jvm
-        self._new_path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._new_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._new_path(f"{self.path}/manifest"))
+        self.files = Files(spark, self.path)
+
+    @property
+    def fields(self) -> list[str]:
+        return [f.name for f in self.spark.createDataFrame([], self.schema).schema]
 
-    def _manifest(self) -> dict[int, str]:
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._new_path(f"{self.path}/manifest"))]
-        return {int(n.split("-")[0]): n.split("-", 1)[1] for n in names if "-" in n}
+    def _base(self) -> Base:
+        names = self.files.names("base")
+        return Base(**json.loads(self.files.read(f"base/{names[-1]}"))) if names else Base()
+
+    def _entries(self, after: int) -> list[int]:
+        return [s for n in self.files.names("manifest") if (s := int(n)) > after]
 
     def snapshot(self) -> int:
-        return max(self._manifest(), default=0)
+        return max(self._entries(0), default=0) or self._base().last
 
     def log(self, snapshot: int | None = None) -> DataFrame:
         """All versions up to the snapshot: the record, _seq, _op and _deleted."""
-        folders = [f"{self.path}/data/{f}" for s, f in sorted(self._manifest().items()) if snapshot is None or s <= snapshot]
+        base = self._base()
+        if snapshot is not None and base.folder and snapshot < base.oldest:
+            raise TooOld(f"snapshots before {base.oldest} were compacted")
+        folders = [base.folder] * bool(base.folder) + [self.files.read(f"manifest/{s:020d}") for s in self._entries(base.last) if snapshot is None or s <= snapshot]
         schema = f"{self.schema}, _seq long, _op int, _deleted boolean"
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+        return found if snapshot is None else found.where(F.col("_seq") <= snapshot)
 
     def read(self, snapshot: int | None = None) -> DataFrame:
         return latest(self.log(snapshot), self.key, ["_seq", "_op"], deleted=F.col("_deleted")).drop("_seq", "_op", "_deleted")
@@ -95,38 +134,68 @@ class VersionStore:
     def begin(self) -> Transaction:
         return Transaction(self, self.snapshot())
 
+    def bytes(self) -> int:
+        return self.files.size("data")
+
     def _commit(self, staged: DataFrame, snapshot: int) -> int:
-        folder = f"c-{uuid.uuid4().hex}"
         while True:
             now = self.snapshot()
             if now > snapshot:
+                if snapshot < self._base().oldest:
+                    raise Conflict("the snapshot was compacted")
                 newer = self.log().where(F.col("_seq") > snapshot).select(self.key)
                 if not staged.select(self.key).distinct().join(newer, self.key, "left_semi").isEmpty():
                     raise Conflict("a record was changed after the snapshot")
-            sequence = now + 1
-            target = f"{self.path}/data/{folder}-{sequence}"
-            staged.withColumn("_seq", F.lit(sequence).cast("long")).write.parquet(target)
-            # the claim is one file per sequence, created exclusively
-            claim = self._new_path(f"{self.path}/claims/{sequence}")
-            self._fs.mkdirs(claim.getParent())
-            if self._fs.createNewFile(claim):
-                self._fs.createNewFile(self._new_path(f"{self.path}/manifest/{sequence}-{folder}-{sequence}"))
+            sequence, folder = now + 1, f"c-{uuid.uuid4().hex}"
+            staged.withColumn("_seq", F.lit(sequence).cast("long")).write.parquet(f"{self.path}/data/{folder}")
+            if self.files.publish(f"manifest/{sequence:020d}", folder):
                 return sequence
-            time.sleep(0.05)
+            self.files.delete(f"data/{folder}")
 
     def compact(self, oldest: int, floor: int = 1) -> int:
-        """Rewrite all commits as one folder that still serves snapshots from oldest on; readers of older ones must be done."""
-        before = self._manifest()
-        if not before:
-            return 0
-        kept = compacted(self.log(), self.key, "_seq", ["_seq", "_op"], oldest, floor)
-        last, folder = max(before), f"m-{uuid.uuid4().hex}"
+        """One folder that serves snapshots from oldest on instead of all commits so far; older snapshots can't be read any more."""
+        last, before = self.snapshot(), self._base()
+        if last <= before.last and oldest <= before.oldest:
+            return last
+        folder = f"m-{uuid.uuid4().hex}"
+        kept = compacted(self.log(last), self.key, "_seq", ["_seq", "_op"], oldest, floor)
         kept.write.parquet(f"{self.path}/data/{folder}")
-        self._fs.createNewFile(self._new_path(f"{self.path}/manifest/{last}-{folder}"))
-        for s, f in before.items():
-            self._fs.delete(self._new_path(f"{self.path}/manifest/{s}-{f}"), False)
+        text = json.dumps({"folder": folder, "oldest": max(oldest, before.oldest), "last": last})
+        if not self.files.publish(f"base/{last:020d}-{max(oldest, before.oldest):020d}", text):
+            self.files.delete(f"data/{folder}")
         return last
 
+    def vacuum(self) -> int:
+        """Delete entries and folders that no snapshot needs, once their readers and writers are done; how many folders."""
+        base = self._base()
+        for s in self._entries(0):
+            if s <= base.last and s < self.snapshot():
+                self.files.delete(f"manifest/{s:020d}")
+        named = {base.folder, *[self.files.read(f"manifest/{s:020d}") for s in self._entries(0)]}
+        gone = [n for n in self.files.names("data") if n not in named]
+        for n in gone:
+            self.files.delete(f"data/{n}")
+        return len(gone)
+
+
+@dataclass
+class GroupCommit:
+    """When what is pending is to be committed: after max_batch records, or max_interval seconds after the first of them."""
+
+    max_batch: int = 1000
+    max_interval: float | None = None
+    pending: int = 0
+    since: float | None = None
+
+    def after(self, records: int, now: float) -> bool:
+        """Whether a commit is due after so many more records; if so, nothing is pending any more."""
+        self.pending += records
+        self.since = now if self.since is None else self.since
+        due = self.pending >= max(self.max_batch, 1) or (self.max_interval is not None and now - self.since >= self.max_interval)
+        if due:
+            self.pending, self.since = 0, None
+        return due
+
 
 class Transaction:
     """Staged changes over a snapshot. Reads see them; commit fails if another commit touched the same records."""
@@ -146,11 +215,15 @@ class Transaction:
         return latest(out, self.store.key, ["_op"])
 
     def upsert(self, rows: DataFrame) -> None:
-        """Within one call the last row of a key that the sort finds wins; rows need the key."""
-        names = [f.name for f in self.store.spark.createDataFrame([], self.store.schema).schema]
+        """Within one call the last row of a key wins; rows need the key, and other columns than the store's are refused."""
         if self.store.key not in rows.columns:
             raise PlanError(f"a record needs {self.store.key}")
-        self._stage(rows.select(*[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names]).dropDuplicates([self.store.key]), False)
+        names = self.store.fields
+        if unknown := set(rows.columns) - set(names):
+            raise PlanError(f"the store has no {sorted(unknown)}")
+        kinds = {f.name: f.dataType for f in self.store.spark.createDataFrame([], self.store.schema).schema}
+        filled = rows.select(*[(F.col(f"`{n}`") if n in rows.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+        self._stage(last_of_each(filled, self.store.key), False)
 
     def update(self, wheres: tuple[Where, ...], values: dict[str, Any]) -> None:
         now = self.read()
@@ -174,8 +247,14 @@ class Transaction:
         if self.status != "active":
             raise PlanError("the transaction is over")
         self.status = "committed"
+        if not self.staged:
+            return self.snapshot
+        changes = self._changes()
+        if not changes.where(F.col(self.store.key).isNull()).isEmpty():
+            self.status = "rolled back"
+            raise PlanError(f"a record needs {self.store.key}")
         try:
-            return self.store._commit(self._changes(), self.snapshot) if self.staged else self.snapshot
+            return self.store._commit(changes, self.snapshot)
         except Conflict:
             self.status = "rolled back"
             raise
