@@ -25,6 +25,11 @@ def with_policies(records: DataFrame, policies: DataFrame, key: str = "collectio
     return joined.withColumn("immortal", F.coalesce("_i", F.lit(True))).withColumn("ttl_count", F.coalesce("_n", F.lit(0))).drop("_n", "_i")
 
 
+def with_initial_ttl(records: DataFrame, policies: DataFrame, now: Column, key: str = "collection") -> DataFrame:
+    """New records with the counter of their collection's policy and the time as its last refresh."""
+    return with_policies(records, policies, key).withColumn("last_refresh", now)
+
+
 def decremented(count: Column, immortal: Column) -> Column:
     """After a replication: one less, not under zero; immortal records keep it."""
     return F.when(immortal, count).otherwise(F.greatest(count - 1, F.lit(0)))
@@ -56,27 +61,46 @@ def temperature(count: Column, idle_s: Column, immortal: Column | None = None) -
     return F.when(spent, "Frozen").when(idle_s <= HOT_S, "Hot").when(idle_s <= WARM_S, "Warm").otherwise("Cold")
 
 
-def promoted(tier: Column, gap_s: Column | None = None) -> Column:
-    """After an access: cold and frozen get warm; warm gets hot if the last access is no longer ago than REACCESS_S."""
-    warm = F.when(tier.isin("Cold", "Frozen"), "Warm")
-    return warm.otherwise(tier) if gap_s is None else warm.when((tier == "Warm") & (gap_s <= REACCESS_S), "Hot").otherwise(tier)
+def accessed_once_more(stats: DataFrame, accessed: DataFrame, now_ns: int) -> DataFrame:
+    """Access counters after an access to each of the accessed blocks: the burst goes on within REACCESS_S, else it begins anew."""
+    hit = accessed.select("block_id").distinct().withColumn("_hit", F.lit(True))
+    soon = (F.lit(now_ns) - F.col("last_access_ns")) <= REACCESS_S * 1_000_000_000
+    joined = stats.join(hit, "block_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    recent = F.when(~F.col("_hit"), F.col("access_count_recent")).when(soon, F.col("access_count_recent") + 1).otherwise(1)
+    total = F.col("access_count_total") + F.col("_hit").cast("long")
+    last = F.when(F.col("_hit"), now_ns).otherwise(F.col("last_access_ns"))
+    return joined.select("block_id", last.alias("last_access_ns"), recent.alias("access_count_recent"), total.alias("access_count_total"))
+
+
+def transition(old: Column, due: Column, hit: Column, recent: Column) -> Column:
+    """The next tier: frozen if that is due; else an access lifts cold and frozen to warm, and warm to hot in a burst; else what is due."""
+    lifted = F.when(old.isin("Cold", "Frozen"), "Warm").when((old == "Warm") & (recent >= 2), "Hot").otherwise(due)
+    return F.when(due == "Frozen", due).when(hit, lifted).otherwise(due)
 
 
 def rebalance(blocks: DataFrame, stats: DataFrame, ttl: DataFrame, accessed: DataFrame, now_ns: int) -> DataFrame:
-    """(block_id, move, tier) for each block: promoted on access, else by its temperature now."""
-    joined = blocks.join(stats.select("block_id", F.col("last_access_ns").alias("_last")), "block_id", "left")
+    """(block_id, move, tier) for each block (block_id, temperature, last_access_ns).
+
+    stats: last_access_ns and access_count_recent by block_id, else the block's own
+    time and no access; ttl: count and immortal, else immortal; accessed: block_ids.
+    """
+    joined = blocks.join(stats.select("block_id", F.col("last_access_ns").alias("_last"), F.col("access_count_recent").alias("_recent")), "block_id", "left")
     joined = joined.join(ttl.select("block_id", F.col("count").alias("_n"), F.col("immortal").alias("_i")), "block_id", "left")
     joined = joined.join(accessed.select("block_id").distinct().withColumn("_hit", F.lit(True)), "block_id", "left")
-    idle = (F.lit(now_ns) - F.coalesce("_last", "last_access_ns", F.lit(0))) / 1e9
+    idle = F.greatest(F.lit(now_ns) - F.coalesce("_last", "last_access_ns", F.lit(0)), F.lit(0)) / 1e9
     due = temperature(F.coalesce("_n", F.lit(1)), idle, F.coalesce("_i", F.lit(True)))
-    hit = F.coalesce("_hit", F.lit(False))
-    tier = F.when(hit, promoted(F.col("temperature"))).otherwise(due)
-    place = lambda c: F.array_position(F.array(*map(F.lit, TIERS)), c)
     old = F.col("temperature")
-    move = F.when(tier == old, "Noop").when(tier == "Frozen", "Freeze").when(place(tier) < place(old), "Promote").when(tier == "Cold", "Compress").otherwise("Demote")
+    tier = transition(old, due, F.coalesce("_hit", F.lit(False)), F.coalesce("_recent", F.lit(0)))
+    place = lambda c: F.array_position(F.array(*map(F.lit, TIERS)), c)
+    move = F.when(tier == old, "Noop").when(tier == "Frozen", "Freeze").when(tier == "Cold", "Compress").when(place(tier) < place(old), "Promote").otherwise("Demote")
     return joined.select("block_id", move.alias("move"), tier.alias("tier"))
 
 
+def colocation_members(records: DataFrame, key: Column, id_field: str) -> DataFrame:
+    """(semantic_key, member): what is placed together, a row for each record, so that no key needs one large row."""
+    return records.select(key.alias("semantic_key"), F.col(id_field).alias("member"))
+
+
 def colocation(records: DataFrame, key: Column, id_field: str) -> DataFrame:
     """(semantic_key, members, first_member)."""
     return records.groupBy(key.alias("semantic_key")).agg(F.count("*").alias("members"), F.min(id_field).alias("first_member"))
@@ -85,8 +109,7 @@ def colocation(records: DataFrame, key: Column, id_field: str) -> DataFrame:
 def compaction_plan(segments: DataFrame) -> DataFrame:
     """Cold and frozen segments, if there are two or more."""
     picked = segments.where(F.col("temperature").isin("Cold", "Frozen")).select("segment_id")
-    many = picked.agg(F.count("*").alias("n")).where("n >= 2").select("n")
-    return picked.join(F.broadcast(many), F.lit(True)).select("segment_id")  # one row at most
+    return picked.where(picked.agg(F.count("*")).scalar() >= 2)
 
 
 def compact(parts: list[DataFrame], clustering: str, key: str) -> DataFrame:

@@ -92,7 +92,27 @@ def sync_plan(packets: DataFrame, applied: DataFrame, high: DataFrame) -> DataFr
     """Packets to send: not applied, after the node's high-water mark, in order (node, sequence, id)."""
     rest = packets.join(applied.select("packet_id"), "packet_id", "left_anti") if applied is not None else packets
     marked = rest.join(high.select("node", F.col("high").alias("_high")), "node", "left")
-    return marked.where("origin_sequence > coalesce(_high, 0)").drop("_high").orderBy("node", "origin_sequence", "packet_id")
+    return marked.where("origin_sequence > coalesce(_high, 0)").select(*packets.columns).orderBy("node", "origin_sequence", "packet_id")
+
+
+def buffered(*queues: DataFrame) -> DataFrame:
+    """Packets queued while a node was away, each once, in order (node, sequence, id)."""
+    out = queues[0]
+    for x in queues[1:]:
+        out = out.unionByName(x)
+    return out.dropDuplicates(["packet_id"]).orderBy("node", "origin_sequence", "packet_id")
+
+
+def catch_up(buffer: DataFrame, applied: DataFrame, high: DataFrame) -> DataFrame:
+    """What a delayed node still needs of a buffer."""
+    return sync_plan(buffer, applied, high)
+
+
+def apply_report(entries: DataFrame, seq: str, checkpoint: int) -> DataFrame:
+    """(applied, skipped, last): what a replica does with entries, given the last sequence it has; repeats in them are skipped."""
+    new = F.col(seq) > checkpoint
+    counts = entries.agg(F.count_distinct(F.when(new, F.col(seq))).alias("applied"), F.count("*").alias("n"), F.max(seq).alias("top"))
+    return counts.select("applied", (F.col("n") - F.col("applied")).alias("skipped"), F.greatest(F.coalesce("top", F.lit(checkpoint)), F.lit(checkpoint)).alias("last"))
 
 
 def beyond(packets: DataFrame, high: DataFrame) -> DataFrame:
