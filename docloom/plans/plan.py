@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -84,6 +85,25 @@ class CollectionConfig:
     composites: tuple[tuple[str, str], ...] = ()
     relations: dict[str, Relation] = field(default_factory=dict)
 
+    def configured(self, sort_fields: Sequence[str] | None = None, composites: Sequence[Sequence[str]] | None = None, exact_fields: Sequence[str] | None = None) -> CollectionConfig:
+        """With other index fields; None leaves them, an empty list turns them off. Blank names are left out."""
+        names = lambda x: tuple(sorted({n.strip() for n in x if n.strip()}))
+        pairs = lambda x: tuple(sorted({(a.strip(), b.strip()) for a, b in x if a.strip() and b.strip()}))
+        return replace(
+            self,
+            sort_fields=self.sort_fields if sort_fields is None else names(sort_fields),
+            composites=self.composites if composites is None else pairs(composites),
+            exact_fields=self.exact_fields if exact_fields is None else names(exact_fields),
+        )
+
+    def to_json(self) -> str:
+        """The index fields, as they are kept beside a store."""
+        return json.dumps({"sort_fields": self.sort_fields, "composites": self.composites, "exact_fields": self.exact_fields})
+
+    def from_json(self, text: str) -> CollectionConfig:
+        """This configuration with the kept index fields; what the text doesn't name stays."""
+        return self.configured(**{k: v for k, v in json.loads(text).items() if k in ("sort_fields", "composites", "exact_fields")})
+
     def relate(self, relations: Sequence[Relation]) -> CollectionConfig:
         self.relations |= {r.name: r for r in relations}
         return self
