@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import scalar
-from .operators import audit, indexes, lifecycle, packets, versions
+from .operators import audit, frames, indexes, lifecycle, packets, versions
 from .oracles import ORACLES  # noqa: F401
 from .plans import cost, frontends
 from .plans.catalog import Catalog
@@ -40,7 +40,7 @@ def _configs() -> dict[str, CollectionConfig]:
         "orders": orders.relate([Relation("customer", "o_custkey", "customer", "c_custkey")]),
         "lineitem": lineitem.relate([Relation("orders", "l_orderkey", "orders", "o_orderkey")]),
         "customer": customer.relate([Relation("nation", "c_nationkey", "nation", "n_nationkey"), Relation("orders", "c_custkey", "orders", "o_custkey")]),
-        "nation": config("n_nationkey"),
+        "nation": config("n_nationkey").relate([Relation("customers", "n_nationkey", "customer", "c_nationkey")]),
         "part": config("p_partkey", exact_fields=("p_name",)),
         "documents": config("doc_id", exact_fields=("text",)).relate([Relation("labels", "doc_id", "labels", "doc_id")]),
         "labels": config("doc_id"),
@@ -231,7 +231,30 @@ def include_two_hop(c: Catalog) -> DataFrame:
 
 @query
 def include_left_outer_count(c: Catalog) -> DataFrame:
-    return c.collection("customer").include("orders").df().select("c_custkey", F.size("orders").cast("long").alias("n_orders"))
+    return c.collection("customer").include_count("orders").select("c_custkey", F.col("n_related").alias("n_orders"))
+
+
+@query
+def include_two_hop_count(c: Catalog) -> DataFrame:
+    return c.collection("nation").include_count("customers.orders").select("n_nationkey", "n_related")
+
+
+@query
+def include_nested(c: Catalog) -> DataFrame:
+    found = c.collection("nation").include("customers").df()
+    return found.select("n_nationkey", F.size("customers").cast("long").alias("n"), F.array_join(F.transform("customers", lambda x: x["c_custkey"].cast("string")), ",").alias("keys"))
+
+
+@query
+def include_under_view(c: Catalog) -> DataFrame:
+    views = Views()
+    views.define(ViewDefinition("desk", collections=frozenset(["orders", "customer"]), include=frozenset(["o_orderkey", "c_custkey", "c_name"]), masks={"c_name": F.lit("***")}))
+    return c.collection("orders", views.resolve("desk")).related("customer")
+
+
+@query
+def sql_under_view(c: Catalog) -> DataFrame:
+    return frontends.sql(c, "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 AND c_custkey <= 1000", _views().resolve("support"))
 
 
 @query
@@ -266,8 +289,9 @@ def write_conflicts(c: Catalog) -> DataFrame:
 @query
 def upsert_last_wins(c: Catalog) -> DataFrame:
     orders = c.frame("orders").select("o_orderkey", "o_orderstatus")
-    changes = orders.where(F.col("o_orderkey") % 10 == 0).withColumn("o_orderstatus", F.lit("X"))
-    return versions.upserted(orders, changes, "o_orderkey")
+    first = orders.where(F.col("o_orderkey") % 10 == 0).withColumns({"o_orderstatus": F.lit("X"), "at": F.lit(1)})
+    second = orders.where(F.col("o_orderkey") % 20 == 0).withColumns({"o_orderstatus": F.lit("Y"), "at": F.lit(2)})
+    return versions.upserted(orders, second.union(first), "o_orderkey", order="at")
 
 
 @query
@@ -304,9 +328,7 @@ def segment_stats(c: Catalog) -> DataFrame:
 
 @query
 def block_skip_count(c: Catalog) -> DataFrame:
-    blocks = indexes.segment_stats(c.frame("events"), "event_id", 512, v="event_id")
-    kept = indexes.may_match(blocks, "v", "gte", 9990)
-    return blocks.agg(F.count("*").alias("blocks")).join(kept.agg(F.count("*").alias("kept")), F.lit(True)).select("blocks", (F.col("blocks") - F.col("kept")).alias("skipped"))
+    return indexes.skip_counts(indexes.segment_stats(c.frame("events"), "event_id", 512, v="event_id"), "v", "gte", 9990)
 
 
 @query
@@ -339,12 +361,17 @@ def tier_classify(c: Catalog) -> DataFrame:
 
 @query
 def colocation(c: Catalog) -> DataFrame:
+    return lifecycle.colocation_members(c.frame("events"), scalar.semantic_key(F.col("user_id"), F.lit("events")), "event_id")
+
+
+@query
+def colocation_summary(c: Catalog) -> DataFrame:
     return lifecycle.colocation(c.frame("events"), scalar.semantic_key(F.col("user_id"), F.lit("events")), "event_id")
 
 
 @query
 def compaction_order(c: Catalog) -> DataFrame:
-    events = c.frame("events").where("event_id < 2000").select("event_id", "event_type")
+    events = c.frame("events").select("event_id", "event_type")
     return lifecycle.positions(lifecycle.compact([events.where("event_id < 1000"), events.where("event_id >= 1000")], "event_type", "event_id")).select("event_id", "pos")
 
 
@@ -373,17 +400,37 @@ def replay_guard(c: Catalog) -> DataFrame:
     return packets.first_seen(c.frame("events"), "user_id", "event_id")
 
 
+def _packets(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events as packets of their users, those applied by some day, and each user's last applied number."""
+    sent = c.frame("events").select(F.col("event_id").alias("packet_id"), F.col("user_id").alias("node"), F.col("event_id").alias("origin_sequence"), "ts")
+    done = sent.where(F.col("ts") < moment("2024-01-25")).where("node % 3 <> 0")
+    return sent.drop("ts"), done.select("packet_id"), done.groupBy("node").agg(F.max("origin_sequence").alias("high"))
+
+
 @query
 def sync_plan(c: Catalog) -> DataFrame:
-    events = c.frame("events").select(F.col("user_id").alias("node"), F.col("event_id").alias("origin_sequence"), "ts")
-    high = events.where(F.col("ts") < moment("2024-01-25")).groupBy("node").agg(F.max("origin_sequence").alias("high"))
-    return packets.beyond(events.select("node", "origin_sequence"), high)
+    return packets.sync_plan(*_packets(c)).select("node", "origin_sequence")
+
+
+@query
+def partition_catch_up(c: Catalog) -> DataFrame:
+    sent, applied, high = _packets(c)
+    queue = packets.buffered(sent.where("node % 2 = 0"), sent.where("node % 4 = 0"))
+    return packets.catch_up(queue, applied, high).select("node", "origin_sequence")
+
+
+@query
+def apply_report(c: Catalog) -> DataFrame:
+    entries = c.frame("events").select("event_id")
+    return packets.apply_report(entries.union(entries.where("event_id % 4 = 0")), "event_id", 2500)
 
 
 @query
 def schema_union_by_name(c: Catalog) -> DataFrame:
-    documents = c.frame("documents").where("doc_id % 2 = 0").select("doc_id", "lang")
-    return documents.unionByName(c.frame("labels").select("doc_id", "quality"), allowMissingColumns=True)
+    packet = lambda name, kind, n: packets.Packet(f"p{n}", "documents", "add", name, "a", n, kind)
+    documents = packets.evolve(c.frame("documents").select("doc_id", "lang"), [packet("quality", "integer", 1)])
+    labels = packets.evolve(c.frame("labels").select("doc_id", "quality"), [packet("lang", "string", 2)])
+    return documents.unionByName(labels)
 
 
 @query
@@ -443,10 +490,97 @@ def path_explain(c: Catalog) -> DataFrame:
     return c.spark.createDataFrame(found, "query string, path string, field string, cost double")
 
 
+NOW_NS = 1_706_659_200_000_000_000
+
+
 @query
 def rebalance_tick(c: Catalog) -> DataFrame:
-    now = 1_706_659_200_000_000_000
     users = c.frame("events").groupBy(F.col("user_id").alias("block_id")).agg((lifecycle.micros(F.max("ts")) * 1000).alias("last_access_ns"))
-    blocks = users.withColumn("temperature", F.when(F.col("block_id") % 2 == 0, "Warm").otherwise("Cold"))
-    ttl = users.select("block_id", (F.col("block_id") % 5).alias("count"), F.lit(False).alias("immortal"))
-    return lifecycle.rebalance(blocks, users, ttl, blocks.where("block_id % 11 = 0"), now)
+    tiers = F.array(*map(F.lit, lifecycle.TIERS))
+    blocks = users.withColumn("temperature", F.element_at(tiers, (F.col("block_id") % 4 + 1).cast("int")))
+    stats = users.where("block_id % 9 <> 0").withColumn("access_count_recent", F.col("block_id") % 3)
+    ttl = users.where("block_id % 6 <> 0").select("block_id", (F.col("block_id") % 5).alias("count"), (F.col("block_id") % 7 == 0).alias("immortal"))
+    return lifecycle.rebalance(blocks, stats, ttl, blocks.where("block_id % 2 = 1"), NOW_NS)
+
+
+@query
+def access_counters(c: Catalog) -> DataFrame:
+    last = c.frame("events").groupBy(F.col("user_id").alias("block_id")).agg((lifecycle.micros(F.max("ts")) * 1000).alias("last_access_ns"), F.count("*").alias("access_count_total"))
+    stats = last.withColumn("access_count_recent", F.col("block_id") % 4)
+    now = 1_706_612_400_000_000_000
+    return lifecycle.accessed_once_more(stats, stats.where("block_id % 2 = 0"), now)
+
+
+def _policies(c: Catalog) -> DataFrame:
+    return c.spark.createDataFrame([("F", 3, False), ("O", 0, True)], "o_orderstatus string, ttl_count int, immortal boolean")
+
+
+@query
+def initial_ttl(c: Catalog) -> DataFrame:
+    orders = c.frame("orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return lifecycle.with_initial_ttl(orders, _policies(c), F.col("o_orderdate"), "o_orderstatus").select("o_orderkey", "ttl_count", "immortal", "last_refresh")
+
+
+@query
+def ttl_decrement(c: Catalog) -> DataFrame:
+    orders = lifecycle.with_policies(c.frame("orders").select("o_orderkey", "o_orderstatus"), _policies(c), "o_orderstatus")
+    return orders.select("o_orderkey", lifecycle.decremented(F.col("ttl_count") - F.col("o_orderkey") % 4, F.col("immortal")).alias("ttl_count"))
+
+
+@query
+def ttl_refresh(c: Catalog) -> DataFrame:
+    orders = c.frame("orders").select("o_orderkey", "o_custkey", F.lit(1).alias("ttl_count"), F.col("o_orderdate").alias("last_refresh"))
+    return lifecycle.refreshed(orders, F.col("o_custkey") % 3 == 0, "ttl_count", 5, "last_refresh", moment("2024-01-01")).select("o_orderkey", "ttl_count", "last_refresh")
+
+
+@query
+def soft_delete(c: Catalog) -> DataFrame:
+    return lifecycle.soft_deleted(c.frame("orders"), "o_orderkey", F.col("o_orderdate"), F.lit("expired"))
+
+
+def _frames(c: Catalog) -> DataFrame:
+    return audit.materialised(c.frame("events").select("event_id", "event_type", "user_id"), "event_id", "event_type", "events")
+
+
+@query
+def materialised_frames(c: Catalog) -> DataFrame:
+    entry = F.col("entries")[0]
+    return _frames(c).select("signature", "symbols", "mirror", entry["field_name"].alias("field_name"), entry["length"].alias("length"), entry["value_hash"].alias("value_hash"))
+
+
+@query
+def hash_prefilter(c: Catalog) -> DataFrame:
+    return _frames(c).where(frames.may_match(Where("_payload", "eq", "click"))).select("signature")
+
+
+@query
+def byte_range(c: Catalog) -> DataFrame:
+    return frames.matching(_frames(c), Where("_payload", "gt", "click"), Where("_payload", "lte", "signup")).select("signature")
+
+
+@query
+def signature_probe(c: Catalog) -> DataFrame:
+    return frames.probed(_frames(c), 4242).select("signature", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query
+def header_order(c: Catalog) -> DataFrame:
+    found = _frames(c).withColumn("version", F.col("signature") % 10)
+    return frames.ordered(found, "version", descending=True).limit(40).select("signature", "version")
+
+
+@query
+def header_order_fallback(c: Catalog) -> DataFrame:
+    return frames.ordered(_frames(c), "nothing").limit(40).select("signature")
+
+
+@query
+def replayed_versions(c: Catalog) -> DataFrame:
+    log = versions.replayed(c.frame("events").select(F.col("event_id").alias("sequence"), "user_id", "event_type"), "user_id")
+    return versions.latest(log, "user_id", ["_seq", "_op"]).select("user_id", "sequence", "event_type")
+
+
+@query
+def scalar_keys(c: Catalog) -> DataFrame:
+    part = c.frame("part")
+    return part.select("p_partkey", scalar.canonical_key(F.col("p_size")).alias("size_key"), scalar.sort_key(F.col("p_name")).alias("sort_key"), scalar.size_bucket(F.col("p_size")).alias("bucket"))
