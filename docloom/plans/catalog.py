@@ -9,6 +9,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..operators.versions import VersionStore
+from ..sources.files import open_parquet
 from .compile import compile_plan, compile_rows, include_count, include_rows
 from .plan import SYMBOLS, CollectionConfig, OrderBy, PlanError, QueryPlan, Where, limit_of
 from .views import AccessDenied, View
@@ -121,7 +122,7 @@ class Catalog:
         if name not in self.frames:
             if self.folder is None or name not in self.configs:
                 raise PlanError(f"no collection named {name}")
-            self.frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self.frames[name] = open_parquet(self.spark, f"{self.folder}/{name}.parquet")
         return self.frames[name]
 
     def config(self, name: str) -> CollectionConfig:

@@ -5,7 +5,19 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+_schemas: dict[tuple[str, int, int], StructType] = {}
+
+
+def open_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its footers are read for the schema only when it has changed since it was last opened."""
+    key = (path, *Files(spark, path).stamp())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 class Files:
@@ -32,6 +44,11 @@ class Files:
         path = self._path(folder)
         return self._fs.getContentSummary(path).getLength() if self._fs.exists(path) else 0
 
+    def stamp(self, name: str = "") -> tuple[int, int]:
+        """Time of the last change and length of a file or folder."""
+        status = self._fs.getFileStatus(self._path(name))
+        return status.getModificationTime(), status.getLen()
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:
