@@ -11,10 +11,17 @@
 * Compaction. Repeated edges whose sources also follow each other form a
   nonbranching path; successive pieces are joined to maximal spans
   (doc, start, n, source doc, source start).
-* Verification. Both places of each span are read again from the texts and
-  compared by a cryptographic digest; only spans that hold are removed.
+* Verification. The source of each span is read again from its text, and the words
+  of both places are compared by a cryptographic digest where they are removed; a
+  span that doesn't hold stays.
 
-Edges are told apart by 64 bits of the minimizer and 32 of the window.
+Edges are told apart by 48 bits of the window's hash, and by 32 of the minimizer's
+and the part it is filed in. Among a million different windows of one minimizer 0.002
+pairs are expected to share a mark; such a pair could leave a repeat, never take words.
+
+A document is a doc_id and a text. Most ids have one text; where one has several,
+each is a variant, numbered by 32 bits of its hash, and a place is
+(doc, variant, start), the last two in one number.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels as K
 from .storage import column, cut, lean
@@ -33,8 +40,12 @@ U = np.uint64
 EDGE = 20  # words of a window
 SEED = 8  # words of a minimizer
 COMBINE_BYTES = 3 << 20  # text whose repeats are found before anything is shuffled
+MARK_BITS = 48  # by which a minimizer's windows are told apart
+LONGEST_UNIT = 60_000  # edges
 GROUP_BYTES = 6 << 20  # aimed at for one group of units
-NULL_ID = -(2**63)
+START_BITS = 31  # of a place; the variant is above them
+START = (1 << START_BITS) - 1
+BROADCAST_IDS = 500_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -48,15 +59,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _edges(words: K.Words, doc_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Window hash, minimizer, document and start of each edge."""
+def _edges(words: K.Words, doc_ids: np.ndarray, variants: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Window hash, minimizer, document and start (below its variant) of each edge."""
     h = words.hashes()
     at, docs = K.inside(words.first, k)
     if not len(at):
         return np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
     seeds = min(SEED, k)
     low = _sliding_min(K.windows(h, seeds), k - seeds + 1)
-    return K.windows(h, k)[at], low[at], doc_ids[docs], at - words.first[docs]
+    return K.windows(h, k)[at], low[at], doc_ids[docs], at - words.first[docs] + (variants << START_BITS)[docs]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, source: np.ndarray, source_start: np.ndarray) -> list[np.ndarray]:
@@ -83,9 +94,19 @@ def _repeats(key: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
     return first, _runs(doc[at], start[at], doc[source], start[source])
 
 
+def _packed(marks: np.ndarray) -> bytes:
+    """The lower 48 bits of each."""
+    return marks.astype(np.uint32).tobytes() + (marks >> U(32)).astype(np.uint16).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(U) << U(32)
+
+
 def _file(parts: int, k: int):
     """Units by part, packed, and the repeats that a block shows by itself."""
-    fields = ["part", "seeds", "docs", "starts", "sizes", "marks", "repeats"]
+    fields = ["part", "seeds", "docs", "starts", "variants", "sizes", "marks", "repeats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -98,11 +119,13 @@ def _file(parts: int, k: int):
             head = np.ones(len(mark), bool)
             head[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
             at = np.flatnonzero(head)
-            n = np.diff(np.append(at, len(mark)))
+            if (n := np.diff(np.append(at, len(mark)))).max(initial=0) > LONGEST_UNIT:
+                at = np.concatenate([np.arange(a, a + m, LONGEST_UNIT) for a, m in zip(at, n)])
+                n = np.diff(np.append(at, len(mark)))
             part = (K.mix(seed[at], 11) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
-            marks = mark.astype(np.uint32)[np.repeat(at[order], n[order]) + np.arange(len(mark)) - np.repeat(np.cumsum(n[order]) - n[order], n[order])]
+            marks = (mark & U((1 << MARK_BITS) - 1))[np.repeat(at[order], n[order]) + np.arange(len(mark)) - np.repeat(np.cumsum(n[order]) - n[order], n[order])]
             ends = np.append(cuts, len(order))
             edge_ends = np.concatenate(([0], np.cumsum(n[order])))
             pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
@@ -110,11 +133,11 @@ def _file(parts: int, k: int):
             packed = [b""] * len(cuts)
             packed[0] = np.stack([x.astype(np.int64) for x in repeats]).tobytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[order][cuts]), pack(seed), pack(doc), pack(start.astype(np.int32)), pack(n[order].astype(np.int32)), pa.array([marks[edge_ends[a] : edge_ends[b]].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array(packed, pa.binary())], fields
+                [pa.array(part[order][cuts]), pack(seed.astype(np.uint32)), pack(doc), pack((start & START).astype(np.int32)), pack((start >> START_BITS).astype(np.uint32)) if (start >> START_BITS).any() else pa.array([b""] * len(cuts), pa.binary()), pack(n[order].astype(np.uint16)), pa.array([_packed(marks[edge_ends[a] : edge_ends[b]]) for a, b in zip(ends, ends[1:])], pa.binary()), pa.array(packed, pa.binary())], fields
             )
 
         for rows, words in K.blocks(batches):
-            edges = _edges(words, K.ids(rows.column("doc_id")), k)
+            edges = _edges(words, rows.column("doc").to_numpy(), rows.column("variant").to_numpy(), k)
             if len(edges[0]):
                 held.append(edges)
             size += len(words.data)
@@ -132,8 +155,11 @@ def _first_places(table: pa.Table) -> pa.Table:
     """Runs of repeated edges of one part."""
     read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     passed = [np.frombuffer(x, np.int64).reshape(5, -1) for x in table["repeats"].to_pylist() if x]
-    seed, doc, start, n = read("seeds", U), read("docs", np.int64), read("starts", np.int32).astype(np.int64), read("sizes", np.int32).astype(np.int64)
-    mark = read("marks", np.uint32)
+    seed, doc, start, n = read("seeds", np.uint32), read("docs", np.int64), read("starts", np.int32).astype(np.int64), read("sizes", np.uint16).astype(np.int64)
+    if any(variants := table["variants"].to_pylist()):
+        sizes = [len(x) // 8 for x in table["docs"].to_pylist()]
+        start += np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) if x else np.zeros(m, np.int64) for x, m in zip(variants, sizes)]) << START_BITS
+    mark = np.concatenate([_unpacked(x) for x in table["marks"].to_pylist()])
     order = np.argsort(seed, kind="stable")
     same = np.zeros(len(seed), bool)
     same[1:] = seed[order][1:] == seed[order][:-1]
@@ -151,47 +177,71 @@ def _first_places(table: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("doc", "start", "n", "source", "source_start"), columns)})
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _digests(k: int):
     """Digest of the words of each wanted stretch of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for doc, text, wanted in zip(*(batch.column(x) for x in ("doc", "text", "wanted"))):
-                words = (text.as_py() or "").encode().split()
+            for doc, variant, text, wanted in zip(*(batch.column(x) for x in ("doc", "variant", "text", "wanted"))):
+                words, place = (text.as_py() or "").encode().split(), variant.as_py() << START_BITS
                 for x in wanted.as_py():
-                    a, n = x["start"], x["n"]
+                    a, n = x["start"] - place, x["n"]
                     piece = words[a : a + n + k - 1]
-                    for column, value in zip(out, (doc.as_py(), a, n, hashlib.blake2b(b" ".join(piece), digest_size=16).digest() if len(piece) == n + k - 1 else None)):
+                    for column, value in zip(out, (doc.as_py(), x["start"], n, _digest(piece) if len(piece) == n + k - 1 else None)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc", "start", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["source", "source_start", "n", "digest"])
 
     return run
 
 
-def repeated_spans(texts: DataFrame, k: int = EDGE) -> DataFrame:
-    """(doc, spans): for each document with repeats, the verified stretches (start, n edges).
+def _variant_of(start: str) -> Column:
+    return F.shiftright(start, START_BITS)
+
 
-    texts: doc (a long, not null), text and any others. Rows with the same doc
-    count as one place; they are never repeats of each other.
+def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
+    """docs with doc and variant, which tell documents apart and order them, and the bytes of all texts.
+
+    doc is the doc_id; a null one is replaced by a number of the text's hash under
+    all likely ids. variant is 0 unless the id is null or has several texts.
+    """
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
+    keyed = docs.withColumn("doc", F.coalesce(doc_id, F.lit(-(2**63)) + digest.bitwiseAND((1 << 61) - 1)))
+    own = (F.shiftrightunsigned(digest, 32).bitwiseOR(F.lit(1))).alias("variant")
+    ids = cut(keyed.select("doc", digest.alias("h"), F.octet_length(text).alias("size")).groupBy("doc").agg((F.min("h") != F.max("h")).alias("several"), F.sum("size").alias("size")))
+    several = ids.where("several").select("doc", "several")
+    n, size = ids.agg(F.count(F.when(F.col("several"), 1)), F.sum("size")).first()
+    if not n:
+        return keyed.select("*", F.when(F.col(doc_id).isNull(), own).otherwise(F.lit(0).cast("long")).alias("variant")), size or 0
+    marked = keyed.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc", "left")
+    return marked.select(*keyed.columns, F.when(F.col(doc_id).isNull() | F.col("several"), own).otherwise(F.lit(0).cast("long")).alias("variant")), size or 0
+
+
+def repeated_spans(texts: DataFrame, size: int, k: int = EDGE) -> DataFrame:
+    """(doc, variant, spans): for each document with repeats, the stretches (start, n edges, digest of the source's words).
+
+    texts: doc, variant and text as placed() gives them, and any other columns;
+    size: their bytes. Rows of one document are never repeats of each other.
     """
-    docs = texts.select(F.col("doc").alias("doc_id"), "text")
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, int(chars / 6 * 7.5) // GROUP_BYTES + 1)
-    filed = docs.mapInArrow(_file(parts, k), "part long, seeds binary, docs binary, starts binary, sizes binary, marks binary, repeats binary")
+    parts = max(8, int(size / 6 * 7.5) // GROUP_BYTES + 1)
+    filed = texts.select("doc", "variant", "text").mapInArrow(_file(parts, k), "part long, seeds binary, docs binary, starts binary, variants binary, sizes binary, marks binary, repeats binary")
     pieces = filed.groupBy("part").applyInArrow(_first_places, "doc long, start long, n long, source long, source_start long")
     along = Window.partitionBy("doc").orderBy("start")
     follows = (F.lag(F.col("start") + F.col("n")).over(along) == F.col("start")) & (F.lag("source").over(along) == F.col("source")) & (F.lag(F.col("source_start") + F.col("n")).over(along) == F.col("source_start"))
     spans = pieces.withColumn("head", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("path", F.sum("head").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("doc", "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("source").alias("source"), F.min("source_start").alias("source_start")).drop("path")
     spans = cut(spans)
-    wanted = spans.select("doc", "start", "n").union(spans.select("source", "source_start", "n")).distinct()
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+    wanted = spans.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n").distinct()
+    wanted = wanted.groupBy("doc", _variant_of("start").alias("variant")).agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
     # all columns, so that the texts are dealt out once for this and for the caller's join
-    digests = texts.join(wanted.hint("shuffle_hash"), "doc").mapInArrow(_digests(k), "doc long, start long, n long, digest binary").groupBy("doc", "start", "n").agg(F.max("digest").alias("digest"))
-    there = digests.select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n", F.col("digest").alias("source_digest"))
-    held = spans.join(digests, ["doc", "start", "n"]).join(there, ["source", "source_start", "n"]).where("digest = source_digest")
-    return held.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    read = texts.join(wanted.hint("shuffle_hash"), ["doc", "variant"]).mapInArrow(_digests(k), "source long, source_start long, n long, digest binary")
+    read = read.groupBy("source", "source_start", "n").agg(F.max("digest").alias("digest"))
+    held = spans.join(read, ["source", "source_start", "n"])
+    return held.groupBy("doc", _variant_of("start").alias("variant")).agg(F.collect_list(F.struct(F.col("start").bitwiseAND(START).alias("start"), "n", "digest")).alias("spans"))
 
 
 def _kept(k: int, digest: bool):
@@ -205,7 +255,9 @@ def _kept(k: int, digest: bool):
                 words = raw.split()
                 keep = np.ones(len(words), bool)
                 for x in spans or ():
-                    keep[x["start"] : x["start"] + x["n"] + k - 1] = False
+                    stretch = slice(x["start"], x["start"] + x["n"] + k - 1)
+                    if _digest(words[stretch]) == x["digest"]:
+                        keep[stretch] = False
                 removed = len(words) - int(keep.sum())
                 counts.append(len(words))
                 gone.append(removed)
@@ -226,8 +278,9 @@ def _kept(k: int, digest: bool):
 def _removed(docs: DataFrame, k: int, digest: bool) -> DataFrame:
     """The columns of docs but for text as c0, c1, ..., and n_words, n_removed and kept."""
     rest = [c for c in docs.columns if c != "text"]
-    texts = lean(docs).select(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)], "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
-    joined = texts.join(repeated_spans(texts, k).hint("shuffle_hash"), "doc", "left").drop("doc")
+    named = lean(docs).select(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)], "text")
+    texts, size = placed(named, doc_id=f"c{rest.index('doc_id')}")
+    joined = texts.join(repeated_spans(texts, size, k).hint("shuffle_hash"), ["doc", "variant"], "left").drop("doc", "variant")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
     return joined.mapInArrow(_kept(k, digest), schema)
@@ -241,7 +294,11 @@ def remove_repeats(docs: DataFrame, k: int = EDGE, digest: bool = False) -> Data
     kept: the text without those words, each kept word with the white space
     after it (unchanged where nothing goes); with digest, the SHA-256 of the
     kept words joined by one space. Null text: no words, a null kept text.
-    Texts of fewer than k words stay. Null doc_id: before all others.
+    Texts of fewer than k words stay. Rows with equal doc_id and text are one
+    document, and not repeats of each other. Of one doc_id's different texts
+    each is a document, and which of them is earlier is decided by their hashes.
+    Null doc_ids: documents by their text, before all others. An empty table
+    gives an empty result; other columns stay as they are.
     """
     own = ["n_words", "n_removed", "kept"]
     rest = [c for c in docs.columns if c != "text"]
