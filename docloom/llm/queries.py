@@ -115,8 +115,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS x, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i > 1 THEN ws[i - 1] END)) AS h, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i > 2 THEN ws[i - 2] END)) AS g FROM w),
 one AS (SELECT x, count(*) AS c FROM t GROUP BY x),
-two AS (SELECT h, x, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, x HAVING count(*) >= 2),
-three AS (SELECT g, h, x, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY g, h, x HAVING count(*) >= 2),
+two AS (SELECT h, x, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY h, x),
+three AS (SELECT g, h, x, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY g, h, x),
 total AS (SELECT count(*) AS n FROM t)
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, round(coalesce(s.log_score, 0), 4) AS log_score FROM w LEFT JOIN (
   SELECT t.doc_id, sum(
