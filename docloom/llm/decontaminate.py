@@ -5,7 +5,8 @@ typed form numbers, units and runs of names are typed placeholders, so a questio
 with other values has the same template; in the plain form names are lower-cased
 words, so it doesn't depend on case. Windows of tokens of the documents are
 hash-joined with those of the benchmark, and an item of fewer tokens than a window
-with document windows of its own length.
+with document windows of its own length. A window of slots only has no template, so
+its values are compared: a table of numbers doesn't meet every other one.
 
 Matches of one document and item on one diagonal (document position less item
 position) make segments. Segments whose positions rise, on diagonals at most DRIFT
@@ -20,6 +21,8 @@ are joined by a shuffle. Nothing depends on how many documents hold an item.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .storage import column, cut
@@ -72,9 +75,15 @@ def _bare(token: Column) -> Column:
 
 def _windows(formed: DataFrame, widths: list[int], whole: bool = False) -> DataFrame:
     """formed's columns but words, with (at, h) for each window; whole: one shorter than WINDOW only where it is the text."""
-    typed = lambda t: F.when(_is_slot(t) & ~((F.col("form") == PLAIN) & t.startswith(NAME)), F.substring(t, 1, 1)).otherwise(_bare(t))
-    hashes = F.transform("words", lambda t: F.xxhash64(typed(t)))
-    rows = lambda h, w: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(h, i + k) for k in range(w)]).alias("h")))
+    is_open = lambda t: _is_slot(t) & ~((F.col("form") == PLAIN) & t.startswith(NAME))
+    hashes = F.transform("words", lambda t: F.xxhash64(F.when(is_open(t), F.substring(t, 1, 1)).otherwise(_bare(t))))
+
+    def hashed(h: Column, i: Column, w: int) -> Column:
+        """Hash of a window; of its values where all tokens are slots, which the first tells of most windows."""
+        words = [F.get("words", i + k) for k in range(w)]
+        return F.when(reduce(lambda a, b: a & b, map(is_open, words)), F.xxhash64(F.lit(END), *words)).otherwise(F.xxhash64(*[F.get(h, i + k) for k in range(w)]))
+
+    rows = lambda h, w: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.struct(i.alias("at"), hashed(h, i, w).alias("h")))
     fits = lambda h, w: F.size(h) == w if whole and w < WINDOW else F.size(h) >= w
     none = F.array().cast("array<struct<at:int,h:bigint>>")
     each = lambda h: F.concat(*[F.when(fits(h, w), rows(h, w)).otherwise(none) for w in widths])
