@@ -5,12 +5,15 @@ transformed shares (mean word length, symbols, duplicate lines, repeated words);
 for each language and source the minimum-covariance-determinant estimate of
 their centre and scatter is sought by concentration steps (Rousseeuw and Van
 Driessen, "A fast algorithm for the minimum covariance determinant estimator",
-1999), started from medians and median deviations, and a text is rejected by its
-Mahalanobis distance.
+1999) from several deterministic starts at the medians (Hubert, Rousseeuw and
+Verdonck, "A deterministic algorithm for robust location and scatter", 2012):
+median deviations alone, and with the correlations of spatial signs and of
+hyperbolic tangents. Of the ends of all starts the one of least determinant is the
+group's estimate, and a text is rejected by its Mahalanobis distance.
 
 Everything is counted over all rows that pass the base rules. Order statistics
 come from histograms of fixed fine bins, which add up in any order and are of
-bounded size for each group. Groups of fewer than MIN_ROWS rows join their
+bounded size for each group. Groups of fewer than min_rows rows join their
 language's pool, and too small pools join one pool. Estimates are a small table;
 it is broadcast only when its rows were counted to be few.
 """
@@ -21,9 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import cut
 
-MIN_ROWS = 200
+MIN_ROWS = 200  # of a group with an estimate of its own; a parameter
 SUBSET = 0.75  # part of the rows that the estimate describes
-STEPS = 4
+STEPS = 4  # of each start
+STARTS = 3
 FLOOR = (0.06, 0.25, 0.25, 0.15)  # scatter below which differences mean nothing, for each statistic
 # chi-square quantiles, for SUBSET and for 0.999, with one degree of freedom: floors can leave but one statistic
 # that varies, and of all whole degrees one has the farthest tail for the same SUBSET quantile
@@ -125,22 +129,26 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(done) if done.count() <= BROADCAST_GROUPS else done
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with the columns g_lang and g_source of the group that describes them."""
+def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
+    """rows with the column g, the name of the group that describes them."""
     sizes = rows.groupBy("lang", "source").count()
-    own = sizes.withColumn("own", F.col("count") >= MIN_ROWS)
+    own = sizes.withColumn("own", F.col("count") >= min_rows)
     rest = own.withColumn("pool", F.sum(F.when(~F.col("own"), F.col("count")).otherwise(0)).over(Window.partitionBy("lang")))
     names = rest.select(
         F.col("lang").alias("l"),
         F.col("source").alias("s"),
-        F.when(F.col("own"), F.to_json(F.array("lang", "source"))).when(F.col("pool") >= MIN_ROWS, F.to_json(F.array("lang"))).otherwise("").alias("g"),
+        F.when(F.col("own"), F.to_json(F.array("lang", "source"))).when(F.col("pool") >= min_rows, F.to_json(F.array("lang"))).otherwise("").alias("g"),
     )
     names = _small(names)
     return rows.join(names, rows["lang"].eqNullSafe(names["l"]) & rows["source"].eqNullSafe(names["s"])).drop("l", "s")
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and scatter from median deviations."""
+    """Estimates from which the concentration of each group begins: STARTS of them, told apart by start.
+
+    All are at the medians. The scatter is that of median deviations, with no
+    correlation, with that of spatial signs, or with that of hyperbolic tangents.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("x")) for i in range(D)])).alias("p")
     long = rows.select("g", pairs).select("g", "p.f", "p.x")
     medians = _small(_quantile_bins(long.withColumn("bin", _bin(F.col("x"))), ["g", "f"], 0.5).select("g", "f", ((F.col("top") + 0.5) / BINS).alias("m")))
@@ -148,30 +156,52 @@ def _start(rows: DataFrame) -> DataFrame:
     spread = _quantile_bins(off, ["g", "f"], 0.5).select("g", "f", (1.4826 * (F.col("top") + 0.5) / BINS).alias("s"))
     both = medians.join(spread, ["g", "f"])
     of = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
-    wide = both.groupBy("g").agg(*[of(i, "m").alias(f"m{i}") for i in range(D)], *[of(i, "s").alias(f"s{i}") for i in range(D)])
-    return _factored(wide.select("g", *[f"m{i}" for i in range(D)], *[(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)]))
+    wide = _small(both.groupBy("g").agg(*[of(i, "m").alias(f"m{i}") for i in range(D)], *[of(i, "s").alias(f"s{i}") for i in range(D)]))
+    scaled = rows.join(wide, "g").select("g", *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(F.col(f"s{i}") ** 2 + FLOOR[i] ** 2)).alias(f"z{i}") for i in range(D)])
+    scaled = scaled.withColumn("r", F.sqrt(sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(D))))
+    lower = [(i, j) for i in range(D) for j in range(i + 1)]
+    sign = lambda i: F.when(F.col("r") > 0, F.col(f"z{i}") / F.col("r")).otherwise(0.0)
+    bent = lambda i: F.tanh(f"z{i}")
+    shapes = scaled.groupBy("g").agg(*[F.avg(y(i) * y(j)).alias(f"{n}{i}{j}") for n, y in (("u", sign), ("t", bent)) for i, j in lower])
+    linked = lambda n, i, j: F.coalesce(F.col(f"{n}{i}{j}") / F.sqrt(F.greatest(F.col(f"{n}{i}{i}") * F.col(f"{n}{j}{j}"), F.lit(1e-12))), F.lit(0.0)) if i != j else F.lit(1.0)
+    correlations = [lambda i, j: F.lit(float(i == j)), lambda i, j: linked("u", i, j), lambda i, j: linked("t", i, j)]
+    starts = [F.struct(F.lit(k).alias("start"), *[(F.col(f"s{i}") * F.col(f"s{j}") * c(i, j)).alias(f"c{i}{j}") for i, j in lower]) for k, c in enumerate(correlations)]
+    centred = wide.join(shapes, "g").select("g", *[f"m{i}" for i in range(D)], F.inline(F.array(*starts)))
+    return _factored(centred)
 
 
 def _factored(table: DataFrame) -> DataFrame:
-    """g, the centre m and the Cholesky factor l of the scatter c with the floors added."""
+    """g, start, the centre m and the Cholesky factor l of the scatter c with the floors added."""
     for i in range(D):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             table = table.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return table.select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
+    return table.select("g", "start", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
+
+
+def _determinant() -> Column:
+    """Logarithm of the scatter's determinant."""
+    return sum(2 * F.log(F.col(f"l{i}{i}")) for i in range(D))
+
+
+def _least(estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates the one of least determinant; of equal ones the first start."""
+    own = [c for c in estimates.columns if c != "g"]
+    best = estimates.groupBy("g").agg(F.min_by(F.struct(*own), F.struct(_determinant(), F.col("start"))).alias("e"))
+    return best.select("g", *[f"e.{c}" for c in own])
 
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with the squared distance d2."""
+    """rows with the squared distance d2 to each of their group's estimates, told apart by start."""
     out = rows.join(estimates, "g")
     for i in range(D):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(D))).select(*rows.columns, "d2")
+    return out.withColumn("d2", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(D))).select(*rows.columns, "start", "d2")
 
 
 def _log_bin() -> Column:
@@ -179,34 +209,41 @@ def _log_bin() -> Column:
 
 
 def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One step: centre and scatter of the SUBSET of each group that is nearest to the estimate."""
+    """One step of all starts: centre and scatter of the SUBSET of each group that is nearest to the estimate."""
     far = _distances(rows, estimates).withColumn("bin", _log_bin())
-    tops = _small(_quantile_bins(far, ["g"], SUBSET))
-    near = far.join(tops, "g").where("bin <= top")
-    sums = near.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"t{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(D) for j in range(i + 1)])
+    tops = _small(_quantile_bins(far, ["g", "start"], SUBSET))
+    near = far.join(tops, ["g", "start"]).where("bin <= top")
+    sums = near.groupBy("g", "start").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"t{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(D) for j in range(i + 1)])
     means = [(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(D)]
     scatter = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"t{i}") / F.col("n") * F.col(f"t{j}") / F.col("n")).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)]
-    return _factored(sums.select("g", *means, *scatter))
+    return _factored(sums.select("g", "start", *means, *scatter))
+
+
+def estimated(rows: DataFrame) -> DataFrame:
+    """The estimate of each group g of rows (g, x0, x1, ...): start, centre m and factor l."""
+    estimates = _small(_start(rows))
+    for _ in range(STEPS):
+        estimates = _small(_concentrated(rows, estimates))
+    return _small(_least(estimates))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """doc_id, the base counts, base_failed, distance and kept for each row of docs (doc_id, text, lang, source).
 
     distance: squared Mahalanobis distance, scaled so that its quantile
     of SUBSET is that of chi-square; null where the base rules fail. kept: they pass and it is CUTOFF
     at most. Null text: no words, failed. Null lang or source: a group of its
-    own. Equal rows are judged alike. An empty table gives an empty result.
-    Other columns are ignored.
+    own; one of fewer than min_rows joins its language's, and then all small ones.
+    Equal rows are judged alike. An empty table gives an empty result. Other
+    columns are ignored.
     """
     counted = cut(statistics(docs))
     rows = counted.where("not base_failed").select("doc_id", "lang", "source", *_measures())
-    rows = _grouped(rows).select("g", *[f"x{i}" for i in range(D)])
-    estimates = _small(_start(rows))
-    for _ in range(STEPS):
-        estimates = _small(_concentrated(rows, estimates))
+    rows = _grouped(rows, min_rows).select("g", *[f"x{i}" for i in range(D)])
+    estimates = estimated(rows)
     middle = _quantile_bins(_distances(rows, estimates).withColumn("bin", _log_bin()), ["g"], SUBSET)
     scale = _small(middle.select("g", (F.exp((F.col("top") + 0.5) / BINS) / CHI_SUBSET).alias("scale")))
-    passed = _grouped(counted.where("not base_failed").select("*", *_measures()))
+    passed = _grouped(counted.where("not base_failed").select("*", *_measures()), min_rows)
     passed = _distances(passed, estimates).join(scale, "g").withColumn("distance", F.col("d2") / F.col("scale"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = counted.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
