@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels as K
@@ -31,7 +32,7 @@ PROBES = 3
 N_GRAMS = 20_000
 SHARE = 0.35
 SAMPLE_DOCS = 2_000
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 256  # that are learned, the most frequent ones; a parameter
 LOW_COVERAGE = 0.25  # share of known n-grams under which keep_identified rejects a text
 
 
@@ -89,10 +90,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), K.signed(values), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from the rows of docs (doc_id, text, lang) that are usable and have text and lang."""
-    labelled = lean(docs).where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def fit(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, n_grams: int = N_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model from the rows of docs (doc_id, text, lang) that are usable and have text and lang.
+
+    The sizes are bounds of the model: about sample_docs documents and n_grams
+    n-grams a language, and the max_languages that most rows have. Rows without
+    doc_id aren't learned from. Nothing to learn from gives a model without languages.
+    """
+    labelled = lean(docs).where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
         return Model((), np.zeros((SLOTS, 1), np.uint8), np.zeros(0))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -103,7 +109,7 @@ def fit(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Mode
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     shares = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= SHARE * F.col("most"))
     ranked = shares.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram")))
-    kept = ranked.where(F.col("place") <= N_GRAMS).select("lang", "gram").toArrow()  # N_GRAMS rows a language at most
+    kept = ranked.where(F.col("place") <= n_grams).select("lang", "gram").toArrow()  # n_grams rows a language at most
     languages = tuple(sorted(r["lang"] for r in sizes))
     table = np.zeros((SLOTS, -(-len(languages) // 8)), np.uint8)
     index = {x: i for i, x in enumerate(languages)}
@@ -134,8 +140,9 @@ def scores(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     return counts, np.maximum((hits - counts[:, None] * rate) / (1 - rate), 0)
 
 
-def _predict(model: Model) -> Callable:
+def _predict(shared: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for rows, texts in _text_blocks(batches):
             counts, hits = scores(model, texts)
             names, sure, cover = [], [], []
@@ -155,6 +162,11 @@ def _predict(model: Model) -> Callable:
     return run
 
 
+def _shared(docs: DataFrame, model: Model) -> Broadcast:
+    """The model once for each executor; its size is bounded by max_languages."""
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, coverage) for each row of docs (doc_id, text).
 
@@ -162,15 +174,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     letter, and where nothing was learned. score: the language's part of all
     corrected counts; coverage: the part of the n-grams that it knows. Ties go
     to the first name. A text with letters but no known n-gram gets the first
-    language with score 0.
+    language with score 0. Null doc_id and repeated rows are kept, an empty table
+    gives an empty result, and other columns are ignored.
     """
-    return lean(docs).select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, coverage double")
+    return lean(docs).select("doc_id", "text").mapInArrow(_predict(_shared(docs, model)), "doc_id long, lang_pred string, score double, coverage double")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is known: not `und`, and LOW_COVERAGE of the n-grams at least."""
+    """The rows of docs whose language is known: not `und`, and LOW_COVERAGE of the n-grams at least; all columns stay."""
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for rows, texts in _text_blocks(batches):
             counts, hits = scores(model, texts)
             good = (counts > 0) & ((hits.max(1) if hits.shape[1] else np.zeros(len(texts))) >= LOW_COVERAGE * counts)
@@ -183,5 +198,5 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> Column:
-    """Documents that no model may learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Documents that no model may learn from. One without a doc_id isn't held out (and isn't learned from)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
