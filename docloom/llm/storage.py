@@ -28,17 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data, computed by itself and never broadcast, so that plans are alike at every size and hot keys can be split."""
+    return cut(df).hint("merge")
+
+
 def column(name: str) -> Column:
     """The column of just this name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-ROWS_PER_BATCH = 1000
+BATCH_BYTES = 8 << 20
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df; from now on its session hands texts to Python in batches of ROWS_PER_BATCH rows at most, for long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > ROWS_PER_BATCH:
-        df.sparkSession.conf.set(key, str(ROWS_PER_BATCH))
+    """df; its session hands rows to Python in batches of BATCH_BYTES (one row at least), unless it is set to fewer.
+
+    The setting is read when a plan runs, which is after the call, so it stays; it
+    changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key) or ""
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df

@@ -6,11 +6,17 @@ a rule are judged by a model: unigram Viterbi splits the runs of letters of host
 and path into words, and multinomial naive Bayes scores them.
 
 The model is fitted here. Word frequencies are those of the tokens between
-separators over all urls; a class comes from seed words among the tokens of the
-host. Both tables hold every entry and stay distributed: urls are dealt into
-blocks, and a block is joined with the counts of just the substrings, and then
-the weights of just the words, that its urls hold. Counts come from all rows,
-summed before they travel; only their totals reach the driver.
+separators over all urls. The classes are the rules' verdicts: urls that a rule
+blocks, and all others, so the model carries over to other hosts what the words
+of blocked ones have in common. Words that the rules name themselves are no
+features. Seed words, a parameter, are believed to be SEED_ODDS times as frequent
+in unwanted urls beforehand; that belief is one term of the sum, which the counts
+of the seed word and the other words can outweigh.
+
+Both tables hold every entry and stay distributed: urls are dealt into blocks, and
+a block is joined with the counts of just the substrings, and then the weights of
+just the words, that its urls hold. Counts come from all rows, summed before they
+travel; only their totals reach the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,12 +35,14 @@ from .storage import cut
 
 BLOCK_BITS = 12  # 2 ** BLOCK_BITS urls share a table of counts
 SENT = 200_000  # substrings that are held before they are sent on
-MIN_COUNT = 3  # a rarer token is no word of its own, but may be made of words
-LONGEST = 24
-# fixed values: the rules of the contract, and seed words of unwanted hosts
+MIN_COUNT = 3  # a rarer token is no word of its own, but may be made of words; a parameter
+LONGEST = 24  # letters of a word; a longer run is made of words
+# fixed values: the rules of the contract
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# what is believed of words before any url is seen; a parameter
 SEEDS = ("adult", "bet", "bonus", "casino", "cheap", "farm", "loan", "pills", "porn", "poker", "replica", "sex", "spam", "viagra", "xxx")
-SEED_WEIGHT = 50
+SEED_ODDS = 50.0
+SEED_WEIGHT = 50  # occurrences as a word that a seed has beforehand
 
 HOST = re.compile(r"://([^/?#]*)([^?#]*)")
 LETTERS = re.compile(r"[a-z]+")
@@ -66,6 +75,11 @@ class Rules:
         return best
 
 
+def named_by(rules: tuple[tuple[str, str, str], ...]) -> frozenset[str]:
+    """The words of the rules' own hosts and paths, as Segmenter.words marks them."""
+    return frozenset(chain.from_iterable([*LETTERS.findall(host), *("/" + w for w in LETTERS.findall(path.lower()))] for _, host, path in rules))
+
+
 class Segmenter:
     """Most probable split of a run of letters into words, by unigram Viterbi."""
 
@@ -103,11 +117,13 @@ class Segmenter:
 
 @dataclass
 class Bayes:
-    """Multinomial naive Bayes with add-one smoothing: block against allow."""
+    """Multinomial naive Bayes with add-one smoothing: block against allow. Words in seeds weigh ln(SEED_ODDS) more."""
 
     counts: dict[str, tuple[int, int]] = field(default_factory=dict)  # word: occurrences in blocked and in allowed urls
     urls: tuple[int, int] = (0, 0)
     whole: tuple[int, int, int] | None = None  # entries and sums of the whole table, where counts has only a part
+    seeds: frozenset[str] = frozenset()
+    left_out: frozenset[str] = frozenset()
 
     def __post_init__(self):
         entries, *sums = self.whole or (len(self.counts), *(sum(x[i] for x in self.counts.values()) for i in (0, 1)))
@@ -118,7 +134,7 @@ class Bayes:
 
     def blocks(self, words: list[str]) -> float:
         """Log odds of block."""
-        return self.prior + sum(self.weight.get(w, 0.0) for w in words)
+        return self.prior + sum(self.weight.get(w, 0.0) + (math.log(SEED_ODDS) if w.lstrip("/") in self.seeds else 0.0) for w in words if w not in self.left_out)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,22 +181,26 @@ def _segment(total: int):
     return run
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = set(SEEDS)
-    for batch in batches:
-        counts: Counter[tuple[str, int]] = Counter()
-        for host, words in zip(batch.column("host").to_pylist(), batch.column("words").to_pylist()):
-            if host:
-                kind = 0 if seeds.intersection(words) else 1
-                counts.update((w, kind) for w in ["", *words])
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "kind", "n"])
+def _classes(rules: tuple[tuple[str, str, str], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, left_out = Rules(rules), named_by(rules)
+        for batch in batches:
+            counts: Counter[tuple[str, int]] = Counter()
+            for host, path, words in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "words"))):
+                if host:
+                    rule = own.find(host, path)
+                    kind = 0 if rule and rule[1] == "block" else 1
+                    counts.update((w, kind) for w in ["", *words] if w not in left_out)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "kind", "n"])
+
+    return run
 
 
-def word_counts(urls: DataFrame) -> DataFrame:
-    """(word, n) for each token that occurs MIN_COUNT times or more, seeds with their weight added."""
-    frequent = urls.mapInArrow(_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    seeds = urls.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("word"), F.lit(SEED_WEIGHT).cast("long").alias("n"))
-    return frequent.union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(urls: DataFrame, seeds: tuple[str, ...] = SEEDS, min_count: int = MIN_COUNT) -> DataFrame:
+    """(word, n) for each token that occurs min_count times or more, seeds with their weight added."""
+    frequent = urls.mapInArrow(_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    known = urls.sparkSession.createDataFrame([(w, SEED_WEIGHT) for w in seeds], "word string, n long")
+    return frequent.union(known).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _joined(rows: DataFrame, wanted: DataFrame, table: DataFrame, run, schema: str) -> DataFrame:
@@ -189,27 +209,28 @@ def _joined(rows: DataFrame, wanted: DataFrame, table: DataFrame, run, schema: s
     return rows.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(run, schema)
 
 
-def segmented(pages: DataFrame) -> DataFrame:
+def segmented(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, min_count: int = MIN_COUNT) -> DataFrame:
     """(block, page_id, host, path, words) for each row of pages."""
     urls = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")))
-    counts = cut(word_counts(urls.select("url").where(F.col("url").isNotNull())))
-    total = counts.agg(F.sum("n")).first()[0]
+    counts = cut(word_counts(urls.select("url").where(F.col("url").isNotNull()), seeds, min_count))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return cut(_joined(urls, urls.select("block", "url").mapInArrow(_substrings, "block long, word string"), counts, _segment(total), "block long, page_id long, host string, path string, words array<string>"))
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """(word, block_n, allow_n) over segmented rows; the empty word counts urls."""
+def class_counts(rows: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """(word, block_n, allow_n) over segmented rows: occurrences in urls that a rule blocks, and in others; the empty word counts urls."""
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
-    return rows.select("host", "words").mapInArrow(_classes, "word string, kind int, n long").groupBy("word").agg(of(0).alias("block_n"), of(1).alias("allow_n"))
+    return rows.select("host", "path", "words").mapInArrow(_classes(rules), "word string, kind int, n long").groupBy("word").agg(of(0).alias("block_n"), of(1).alias("allow_n"))
 
 
-def _judge(urls: tuple[int, int], whole: tuple[int, int, int], rules: Rules):
+def _judge(urls: tuple[int, int], whole: tuple[int, int, int], rules: tuple[tuple[str, str, str], ...], seeds: tuple[str, ...]):
     def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        bayes = Bayes({w: (a, b) for w, a, b in zip(*(counts.column(c).to_pylist() for c in ("word", "block_n", "allow_n")))}, urls, whole)
+        bayes = Bayes({w: (a, b) for w, a, b in zip(*(counts.column(c).to_pylist() for c in ("word", "block_n", "allow_n")))}, urls, whole, frozenset(seeds), named_by(rules))
+        own = Rules(rules)
         out: tuple[list, ...] = ([], [], [], [])
         for host, path, words in zip(*(rows.column(c).to_pylist() for c in ("host", "path", "words"))):
             odds = bayes.blocks(words) if host else -1.0
-            rule = rules.find(host, path)
+            rule = own.find(host, path)
             for column, value in zip(out, (rule and rule[0], rule[1] if rule else "block" if odds > 0 else "allow", odds, " ".join(words))):
                 column.append(value)
         kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
@@ -218,17 +239,19 @@ def _judge(urls: tuple[int, int], whole: tuple[int, int, int], rules: Rules):
     return run
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS, min_count: int = MIN_COUNT) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds, words) for each row of pages (page_id, url).
 
     Null url or one without `://`: empty host and path, no rule, allow. log_odds
-    over 0 blocks where no rule fits. Null page_id and repeated rows are kept;
-    an empty table gives an empty result. Other columns are ignored.
+    over 0 blocks where no rule fits; equal urls are judged alike. Null page_id and
+    repeated rows are kept and counted each; an empty table gives an empty result.
+    Other columns are ignored. A very long run of letters is split in time in
+    proportion to its length.
     """
-    rows = segmented(pages)
-    classes = cut(class_counts(rows))
+    rows = segmented(pages, seeds, min_count)
+    classes = cut(class_counts(rows, rules))
     word, of_urls = F.col("word") != "", lambda c: F.coalesce(F.max(F.when(F.col("word") == "", F.col(c))), F.lit(0))
     of_words = lambda c: F.coalesce(F.sum(F.when(word, F.col(c))), F.lit(0))
     blocked, allowed, *whole = classes.agg(of_urls("block_n"), of_urls("allow_n"), F.count(F.when(word, 1)), of_words("block_n"), of_words("allow_n")).first()
     wanted = rows.select("block", "words").mapInArrow(_words, "block long, word string")
-    return _joined(rows, wanted, classes, _judge((blocked, allowed), tuple(whole), Rules(rules)), "page_id long, host string, path string, rule string, verdict string, log_odds double, words string")
+    return _joined(rows, wanted, classes, _judge((blocked, allowed), tuple(whole), tuple(rules), tuple(seeds)), "page_id long, host string, path string, rule string, verdict string, log_odds double, words string")
