@@ -75,7 +75,9 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
     segments: (text, loss) in order, loss only on the texts of trained roles;
     formatted joins them. valid: the machine ends in an accepting state; an
     order that it doesn't know leads to `invalid`, and is formatted all the same.
-    An empty table gives an empty result. Other columns are ignored.
+    Repeated rows are turns each. A conversation's formatted text is one string,
+    so it can't be longer than one can be. An empty table gives an empty result.
+    Other columns are ignored.
     """
     moves = F.create_map(*chain.from_iterable((F.lit(f"{a}\x00{r}"), F.lit(b)) for (a, r), b in template.moves.items()))
     turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))

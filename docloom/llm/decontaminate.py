@@ -114,7 +114,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fewer than eight tokens matches as a whole, anywhere in a document; with other
     values only if it has LITERALS other tokens or is the whole document. Null or
     empty texts match nothing; rows with a null doc_id or item_id are left out.
-    Rows with the same doc_id are taken together. Empty tables give an empty result.
+    Rows with the same doc_id are taken together, so repeated ones change nothing.
+    A text's tokens are one array, so it can't be longer than a row. Empty tables
+    give an empty result; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     items = cut(_forms(benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()), "item_id").where(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(WINDOW))))

@@ -156,11 +156,6 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
     tidy()
 
 
-def ids(column: pa.Array) -> np.ndarray:
-    """A nullable long column as int64; null sorts before all others."""
-    return column.cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 

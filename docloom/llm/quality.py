@@ -234,7 +234,7 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     of SUBSET is that of chi-square; null where the base rules fail. kept: they pass and it is CUTOFF
     at most. Null text: no words, failed. Null lang or source: a group of its
     own; one of fewer than min_rows joins its language's, and then all small ones.
-    Equal rows are judged alike. An empty table gives an empty result. Other
+    Equal rows are judged alike. A text's words are one array. An empty table gives an empty result. Other
     columns are ignored.
     """
     counted = cut(statistics(docs))
