@@ -3,7 +3,8 @@
 Language ID drops texts in no known language; the Jaccard join keeps one of each
 group of near duplicates; substring deduplication removes repeated passages;
 decontamination drops documents that hold benchmark items; SentencePiece encodes
-the rest.
+the rest. Every stage takes nulls in any column, repeated rows and an empty table,
+which gives an empty result, and but for the last returns the columns it was given.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encode),
 ]
 
-#: Language models, near-duplicate components over signatures and Viterbi passes aren't SQL; the tests hold each stage against brute force.
+#: Bloom filters of n-grams, templates with consistent slots and Viterbi passes aren't SQL; the tests hold each stage against brute force or the library.
 ORACLE_SQL = None
 
 
