@@ -18,6 +18,7 @@ Text is marked as the model does: a mark before the text and for each space.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,20 +35,12 @@ BLOCK_BYTES = 4 << 20  # text encoded at a time
 CACHED_WORDS = 800_000  # encodings kept from one block to the next
 RESIDENT_WORDS = 100_000  # and by the process from one partition to the next
 CACHED_PAIRS = 500_000
+CACHED_STEPS = 1_000_000  # in the trie
+CACHED_LENGTH = 64  # characters of a word that is kept
+NUMBER_BITS = 22  # of a piece's number: vocabulary and code points
 UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
-class _Packed(dict):
-    """Packed ids of each piece."""
-
-    def __init__(self, vocabulary: Pieces):
-        self.update((p, np.int32(i).tobytes()) for p, i in vocabulary.index.items())
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> bytes:
-        return np.array(self.vocabulary._fallback(piece), np.int32).tobytes()
-
-
 _resident: dict[int, Pieces] = {}
 
 
@@ -62,12 +55,13 @@ class Pieces:
         self.score = {p: pieces[i][1] for p, i in self.index.items()}
         if any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p) for p in self.index):
             raise ValueError("a piece crosses words; this vocabulary can't be encoded word by word")
-        self._packed = _Packed(self)
-        self._reach: dict[str, int] = {}  # longest piece by its last two characters
-        for p in self.index:
-            self._reach[p[-2:]] = max(self._reach.get(p[-2:], 2), len(p))
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._prefixes = {p[:i] for p in self.index for i in range(1, len(p) + 1)}
+        # nodes of the trie that texts came to: their prefix, the pieces that end there (length, number), the longest first, and where a character leads
+        self._node: dict[str, int] = {"": 0}
+        self._names, self._ending, self._next = [""], [()], [{}]
+        self._noted = 0
+        self._pairs: dict[int, bool] = {}  # by two numbers of pieces: whether their texts encode to them
+        self._whole: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.reset()
 
@@ -80,7 +74,8 @@ class Pieces:
 
     def reset(self) -> None:
         self._word: str = ""
-        self._states: list[tuple[float, int, bytes]] = [(0.0, 0, b"")]  # by position: the best path's score, the start of its last piece, its ids
+        # by position: the best path's score, the start of its last piece, that piece's number, and the node of the trie
+        self._scores, self._starts, self._numbers, self._nodes = array("d", [0.0]), array("q", [0]), array("q", [0]), array("q", [0])
 
     @classmethod
     def read(cls, path: str, merging: bool = True) -> Pieces:
@@ -107,68 +102,112 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _own(self, piece: str) -> bool:
-        found = self._whole.get(piece)
+    def _number(self, character: str) -> int:
+        """The number of a single character, in the vocabulary or after it."""
+        found = self.index.get(character)
+        return len(self.pieces) + ord(character) if found is None else found
+
+    def _text(self, number: int) -> str:
+        return self.pieces[number][0] if number < len(self.pieces) else chr(number - len(self.pieces))
+
+    def _own(self, number: int) -> bool:
+        found = self._whole.get(number)
         if found is None:
-            found = self._whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
+            piece = self._text(number)
+            found = self._whole[number] = len(piece) == 1 or self.merged(piece) == [piece]
         return found
 
-    def _fits(self, a: str, b: str) -> bool:
-        found = self._pairs.get((a, b))
+    def _fits(self, a: int, b: int) -> bool:
+        if len(self._pairs) > CACHED_PAIRS:
+            self._pairs.clear()
+        found = self._pairs[a << NUMBER_BITS | b] = self._own(b) and self.merged(self._text(a) + self._text(b)) == [self._text(a), self._text(b)]
+        return found
+
+    def _lead(self, node: int, character: str) -> int:
+        """The node of the longest prefix of a piece that ends with the character; noted for the next time."""
+        text = self._names[node] + character
+        while text not in self._prefixes and text:
+            text = text[1:]
+        found = self._node.get(text)
         if found is None:
-            if len(self._pairs) > CACHED_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self._own(b) and self.merged(a + b) == [a, b]
+            found = self._node[text] = len(self._names)
+            self._names.append(text)
+            self._ending.append(tuple((len(text) - i, self.index[text[i:]]) for i in range(len(text)) if text[i:] in self.index))
+            self._next.append({})
+        self._noted += 1
+        if self._noted > CACHED_STEPS:
+            self._noted = 0
+            for x in self._next:
+                x.clear()
+        self._next[node][character] = found
         return found
 
     def _extend_merging(self, word: str, begin: int) -> None:
         """States of the prefixes of lengths begin and more: the one piece that ends there in their encodings."""
-        states, index, pairs, packed, reach = self._states, self.index, self._pairs, self._packed, self._reach
+        starts, numbers, nodes, ending, leads, fitting = self._starts, self._numbers, self._nodes, self._ending, self._next, self._pairs.get
+        node = nodes[-1]
         for end in range(begin, len(word) + 1):
-            longest = reach.get(word[end - 2 : end], 2) if end > 1 else 1
-            for start in range(end - longest if end > longest else 0, end):
-                piece = word[start:end]
-                if piece not in index and start < end - 1:
-                    continue
-                if not start:
-                    if self._own(piece):
-                        states.append((0.0, 0, packed[piece]))
-                        break
-                    continue
-                before = states[start]
-                last = word[before[1] : start]
-                fits = pairs.get((last, piece))
-                if fits is None:
-                    fits = self._fits(last, piece)
+            character = word[end - 1]
+            before = node
+            node = leads[before].get(character)
+            if node is None:
+                node = self._lead(before, character)
+            nodes.append(node)
+            for length, number in ending[node]:
+                if length < end:
+                    fits = fitting(numbers[end - length] << NUMBER_BITS | number)
+                    if fits is None:
+                        fits = self._fits(numbers[end - length], number)
+                else:
+                    fits = self._own(number)
                 if fits:
-                    states.append((0.0, start, before[2] + packed[piece]))
+                    starts.append(end - length)
+                    numbers.append(number)
                     break
-            else:
-                raise AssertionError(f"no piece ends at {end} of {word!r}")
+            else:  # a character outside the vocabulary
+                number = self._number(character)
+                if end > 1 and not self._fits(numbers[end - 1], number):
+                    raise AssertionError(f"no piece ends at {end} of {word[:end][-40:]!r}")
+                starts.append(end - 1)
+                numbers.append(number)
 
     def _extend_scored(self, word: str, begin: int) -> None:
         """States of the prefixes of lengths begin and more: the best sum of scores."""
+        scores, starts = self._scores, self._starts
         for end in range(begin, len(word) + 1):
             best = None
             for start in range(max(0, end - self.longest), end):
                 piece = word[start:end]
                 if start < end - 1 and piece not in self.index:
                     continue
-                score = self._states[start][0] + self.score.get(piece, -1e3)
+                score = scores[start] + self.score.get(piece, -1e3)
                 if best is None or score > best[0]:
-                    best = (score, start, self._states[start][2] + self._packed[piece])
-            self._states.append(best)
+                    best = (score, start)
+            scores.append(best[0])
+            starts.append(best[1])
+            self._numbers.append(self.index[word[best[1] : end]] if best[1] < end - 1 else self._number(word[end - 1]))
 
     def encode_next(self, word: str) -> bytes:
-        """Packed ids of a word; states shared with the word before are reused."""
-        before, states = self._word, self._states
-        common = min(len(before), len(word))
-        while not word.startswith(before[:common]):
-            common -= 1
-        del states[common + 1 :]
+        """Packed ids of a word, read along the back-pointers; states shared with the word before are reused."""
+        before, starts, numbers = self._word, self._starts, self._numbers
+        common, most = 0, min(len(before), len(word))
+        if word[:most] == before[:most]:
+            common = most
+        else:  # the longest common prefix by halving
+            while most - common > 1:
+                middle = (common + most) // 2
+                common, most = (middle, most) if word[common:middle] == before[common:middle] else (common, middle)
+        del starts[common + 1 :], numbers[common + 1 :], self._scores[common + 1 :], self._nodes[common + 1 :]
         (self._extend_merging if self.merging else self._extend_scored)(word, common + 1)
         self._word = word
-        return states[-1][2]
+        out, end, known = [], len(word), len(self.pieces)
+        while end:
+            out.append(numbers[end])
+            end = starts[end]
+        out.reverse()
+        if out and max(out) >= known:
+            out = list(chain.from_iterable((x,) if x < known else self._fallback(chr(x - known)) for x in out))
+        return array("i", out).tobytes()
 
     def _fallback(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -221,6 +260,9 @@ def _encode(vocabulary: Pieces, decoded: bool):
                 new.difference_update(cache)
                 cache.update(own.encode_words(new))
                 packed = [b"".join(map(cache.__getitem__, x)) for x in units]
+                for x in new:
+                    if len(x) > CACHED_LENGTH:
+                        del cache[x]
                 ids = np.frombuffer(b"".join(packed), np.int32)
                 bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed])))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
@@ -242,14 +284,16 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False, vocabular
 
     Null or empty text: no ids, decoded empty, a round trip. A text that holds
     the mark U+2581 itself decodes to spaces there, which round_trip tells.
-    Null doc_id and repeated rows are kept. An empty table gives an empty result.
+    Null doc_id and repeated rows are kept. An empty table gives an empty result;
+    other columns are ignored. A text without spaces is one word, whose states
+    take 16 bytes a character.
     """
     vocabulary = vocabulary or Pieces.read(model)
     return lean(docs).select("doc_id", "text").mapInArrow(_encode(vocabulary, decoded), "doc_id long, piece_ids array<int>" + ", decoded string, round_trip boolean" * decoded)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, vocabulary: Pieces | None = None) -> DataFrame:
-    """(doc_id, piece_ids) as (doc_id, text). Null ids give a null text."""
+    """(doc_id, piece_ids) as (doc_id, text). Null ids give a null text; an empty table gives an empty result, other columns are ignored."""
     tables = (vocabulary or Pieces.read(model)).tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
