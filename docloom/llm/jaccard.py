@@ -1,26 +1,35 @@
 """Operator 3: exact n-gram Jaccard self-join with PartEnum signatures.
 
 PartEnum (Arasu, Ganti, Kaushik: "Efficient exact set-similarity joins", 2006):
-sets of a size band are cut along a partition of the feature domain, and sets
-that differ in fewer features than there are parts agree on a whole part.
-
-* Bands. A set of s features belongs to level L, the least with 2**L >= 0.4 s,
-  and its domain is cut into 2**L parts by the leading bits of the feature
-  hashes. Where 4/3 s reaches the next level, the set is signed there too, so
-  any two sets that may be similar meet at the level of the larger one.
-* Signatures. One for each filled part: the hash of all its features. Sets with
-  Jaccard >= 3/4 differ in k <= (x + y) / 7 features, hence they agree on all but
-  k filled parts; ordering signatures by (most features, hash), it is enough
-  that each set gives its first k + 1. A set with no more than k filled parts
-  gives all of them and its single features besides. No similar pair is lost.
+the feature domain is cut into first-level parts, each of these into CELLS
+second-level parts, and a set signs every subset of CELLS - 1 of the second-level
+parts of each first-level part. Sets that differ in few features agree on one.
+
+* Bands. A set of s features belongs to level L, the least with 2**L >= s. Where
+  4/3 s reaches the next level, the set signs there too, so any two sets that may
+  be similar meet at the level of the larger one, whose partition both use.
+* Signatures. Sets with Jaccard >= 3/4 differ in k <= (x + y) / 7 features, so in
+  all but k / 2 first-level parts they differ in one feature at most, and there the
+  subset of second-level parts without that feature is the same. A first-level
+  part is good for a set if all its subsets hold features. A set signs its parts
+  in their order until k / 2 + 1 good ones are done; of the two sets of a similar
+  pair, one is done first, and one of its good parts is such a part. A set without
+  so many good parts (a small one) signs all parts and its single features besides;
+  two such sets share a feature. No similar pair is lost.
 * Texts with equal sets are one class from the start; only classes are joined.
   In a bucket (classes under one signature) a central member leads. Each class
-  is first compared with the leaders it shares the most buckets with, in rounds;
-  pairs in a bucket that are still apart afterwards are compared by parity
-  bitmaps, whose differing bits bound the difference from below, and pairs that
-  pass are intersected exactly.
-
-Feature, set and signature hashes have 64 bits.
+  is first compared with the leaders it shares the most buckets with, in rounds.
+  All classes of the buckets that one class leads make a group, so a group holds
+  each of them once, however many buckets they share; pairs in a group that are
+  still apart are compared by parity bitmaps, whose differing bits bound the
+  difference from below, and pairs that pass are intersected exactly. A group is
+  compared in pairs of blocks of BLOCK_CLASSES classes, so no task has a whole
+  large one.
+
+Feature and set hashes have 64 bits. Signatures are filed by the upper bits of
+their hash and told apart within a file by 32 others, and travel with the upper 40
+bits of their class, which stand for every class that begins so: an accidental
+equality makes a pair to compare, never a link.
 """
 
 from __future__ import annotations
@@ -33,11 +42,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import column, cut, lean
+from .storage import apart, column, cut, lean
 
 U = np.uint64
 WORDS = 5
-BUCKET_BYTES = 8 << 20  # aimed at for one group of signatures
+CELLS = 3  # second-level parts
+SIGNED = 0.85  # signatures a feature, about
+BUCKET_BYTES = 12 << 20  # aimed at for one group of signatures
+REMEMBERED = 50_000  # pairs, by a task
+PREFIX_BITS = 40  # of a class, with its signatures
+BLOCK_CLASSES = 512  # of a group that one task compares with as many others
 BROADCAST_ROWS = 500_000  # ids sent to all executors at most; above, a shuffled join
 LEADERS = 2  # that a class is compared with in one round
 STAR_ROUNDS = 2  # of that; what is apart then is compared pair by pair
@@ -78,56 +92,69 @@ def class_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(values: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of features is i modulo the length, a power of two >= 4 times the size."""
+    """Bit i: whether an odd number of features is i modulo the length, a power of two >= twice the size."""
     m = 64
-    while m < 4 * len(values):
+    while m < 2 * len(values):
         m *= 2
     counts = np.bincount((values & U(m - 1)).astype(np.int64), minlength=m)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _levels(sizes: np.ndarray) -> np.ndarray:
-    """Least L with 2**L >= 0.4 s, in whole numbers."""
+    """Least L with 2**L >= s."""
     out = np.zeros(len(sizes), np.int64)
-    while (low := 5 * (1 << out) < 2 * sizes).any():
+    while (low := (1 << out) < sizes).any():
         out[low] += 1
     return out
 
 
+def _first_parts(levels: np.ndarray) -> np.ndarray:
+    """First-level parts at each level: one more than half the features by which similar sets of it can differ, and a tenth for parts that aren't good."""
+    most = (2 << levels) // 7
+    return most // 2 + 2 + most // 20
+
+
 def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signature hashes and the sets (by number) that give them."""
+    """Signature hashes and the sets (by number) that give them. values ascend within each set."""
     sizes = np.diff(offsets)
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    home = _levels(sizes)
-    more = _levels(4 * sizes // 3)
+    home, more = _levels(sizes), _levels(4 * sizes // 3)
     owner_all = np.repeat(np.arange(len(sizes)), sizes)
     elements = K.mix(values, 3)
     for step in (0, 1):
-        use = (sizes > 0) & ((step == 0) | (more > home))
-        level = home + step
-        take = use[owner_all]
-        owner, value, element = owner_all[take], values[take], elements[take]
-        if not len(owner):
+        sets = np.flatnonzero((sizes > 0) & ((step == 0) | (more > home)))
+        if not len(sets):
             continue
-        shift = (64 - level[owner]).astype(U)
-        part = np.where(level[owner] > 0, value >> np.minimum(shift, U(63)), U(0))
-        head = np.ones(len(owner), bool)
-        head[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(head)
-        n = np.diff(np.append(at, len(owner)))
-        who = owner[at]
-        sign = K.mix(np.add.reduceat(element, at) + level[who].astype(U) * U(0xC2B2AE3D27D4EB4F), 4)
-        top = np.minimum(4 * sizes // 3, 5 * (1 << level) // 2)
-        k = (sizes + top) // 7
-        order = np.lexsort((sign, -n, who))
-        who, sign = who[order], sign[order]
-        bounds = K.grouped(who, len(sizes))
-        rank = np.arange(len(who)) - bounds[who]
-        keep = rank <= k[who]
-        out.append((sign[keep], who[keep]))
-        weak = use & (np.diff(bounds) <= k)
+        level = home[sets] + step
+        parts = _first_parts(level)
+        place = np.full(len(sizes), -1)
+        place[sets] = np.arange(len(sets))
+        take = place[owner_all] >= 0
+        owner, value, element = place[owner_all[take]], values[take], elements[take]
+        ahead = np.concatenate(([0], np.cumsum(parts)))
+        scaled = (value >> U(32)) * parts[owner].astype(U)
+        inner = ((scaled & U(2**32 - 1)) * U(CELLS)) >> U(32)
+        cell = (ahead[owner] + (scaled >> U(32)).astype(np.int64)) * CELLS + inner.astype(np.int64)
+        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sums, counts = np.zeros(ahead[-1] * CELLS, U), np.zeros(ahead[-1] * CELLS, np.int64)
+        sums[cell[at]] = np.add.reduceat(element, at)
+        counts[cell[at]] = np.diff(np.append(at, len(cell)))
+        sums, counts = sums.reshape(-1, CELLS), counts.reshape(-1, CELLS)
+        rest = counts.sum(1, keepdims=True) - counts
+        who = np.repeat(np.arange(len(sets)), parts)
+        part = np.arange(ahead[-1]) - ahead[who]
+        salt = (level[who] << 40 | part).astype(U)[:, None] * U(CELLS) + np.arange(CELLS, dtype=U)
+        sign = K.mix(sums.sum(1, keepdims=True, dtype=U) - sums + salt * U(0xC2B2AE3D27D4EB4F), 4)
+        own = sizes[sets]
+        need = (own + np.minimum(4 * own // 3, 1 << level)) // 14
+        good = (rest > 0).all(1)
+        before = np.cumsum(good) - good
+        before -= before[ahead[:-1]][who]
+        give = (rest > 0) & (before <= need[who])[:, None]
+        out.append((sign[give], sets[who[np.nonzero(give)[0]]]))
+        weak = np.bincount(who, good, len(sets)) <= need
         if (single := weak[owner]).any():
-            out.append((K.mix(value[single] + level[owner[single]].astype(U), 5), owner[single]))
+            out.append((K.mix(value[single] + level[owner[single]].astype(U), 5), sets[owner[single]]))
     if not out:
         return np.empty(0, U), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
@@ -142,6 +169,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(prefixes: np.ndarray) -> bytes:
+    """The lower 32 bits of each, then the 8 above."""
+    return prefixes.astype(np.uint32).tobytes() + (prefixes >> U(32)).astype(np.uint8).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint32, n) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(U) << U(32)
+
+
 def _sign(parts: int):
     """Signature rows by part: packed hashes and classes, once for each block of text."""
 
@@ -152,11 +189,11 @@ def _sign(parts: int):
             sign, who = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             part = (sign >> U(33)) % U(parts)
             order = np.lexsort((who, part))
-            sign, who, part = sign[order], who[order], part[order]
+            low, who, part = sign[order].astype(np.uint32), who[order], part[order]
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             cuts = np.append(at, len(part))
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[at].astype(np.int64)), pa.array([sign[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([who[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                [pa.array(part[at].astype(np.int64)), pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([_packed(who[a:b] >> U(64 - PREFIX_BITS)) for a, b in zip(cuts, cuts[1:])], pa.binary())],
                 ["part", "signs", "classes"],
             )
 
@@ -184,9 +221,9 @@ def _sign(parts: int):
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """Distinct groups of two or more classes that share a signature."""
-    sign = np.frombuffer(b"".join(table["signs"].to_pylist()), U)
-    who = np.frombuffer(b"".join(table["classes"].to_pylist()), U)
+    """Distinct groups of two or more classes, by their prefixes, that share a signature."""
+    sign = np.frombuffer(b"".join(table["signs"].to_pylist()), np.uint32)
+    who = np.concatenate([_unpacked(x) for x in table["classes"].to_pylist()])
     order = np.argsort(sign, kind="stable")
     sign, who = sign[order], who[order]
     same = np.zeros(len(sign), bool)
@@ -238,34 +275,74 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _apart(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket that lie in different components and may be similar."""
-    who, root, size = (table[x].to_numpy() for x in ("node", "root", "n_shingles"))
-    bits = [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
+def _compared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, of one group and pair of blocks each, that lie in different components and may be similar."""
+    who, root, size, block, lo, hi = (table[x].to_numpy() for x in ("node", "root", "n_shingles", "block", "lo", "hi"))
+    head = np.append(True, np.diff(table["lead"].to_numpy()).astype(bool) | np.diff(lo).astype(bool) | np.diff(hi).astype(bool))
+    group = np.cumsum(head)
+    bits = table["bits"].to_pylist()
+    width = np.array([len(x) for x in bits])
+    folded = []  # for each width: places of the bitmaps that are as long at least, those bitmaps folded to a quarter of it and to it
+    wide, fine = np.empty(0, np.int64), np.empty((0, 8), np.uint8)
+    for m in np.unique(width)[::-1]:
+        own = np.flatnonzero(width == m)
+        wide = np.concatenate((wide, own))
+        fine = np.concatenate((_fold(fine, m) if len(fine) else np.empty((0, m), np.uint8), np.frombuffer(b"".join(bits[i] for i in own), np.uint8).reshape(-1, m)))
+        place = np.full(len(bits), -1)
+        place[wide] = np.arange(len(wide))
+        folded.append((m, place, (_fold(fine, max(m // 4, 8)), fine)))
     out_a, out_b = [], []
-    if (root != root[0]).any():
-        order = np.argsort(size, kind="stable")
-        who, root, size, bits = who[order], root[order], size[order], [bits[i] for i in order]
-        width = np.array([len(x) for x in bits])
-        for m in np.unique(width):  # by the smaller set's length
-            rows = np.flatnonzero(width == m)
-            top = np.searchsorted(size, 4 * size[rows[-1]] // 3, "right")
-            others = np.arange(rows[0], top)
-            coarse = max(m // 4, 8)
-            folded = np.stack([_fold(bits[i], coarse) for i in others])
-            for i in rows:
-                to = np.searchsorted(size, 4 * size[i] // 3, "right") - rows[0]
-                at = i - rows[0] + 1
-                if to <= at:
-                    continue
-                far = np.bitwise_count(folded[at:to] ^ folded[i - rows[0]]).sum(1, dtype=np.int64)
-                j = others[at:to][(7 * far <= size[i] + size[others[at:to]]) & (root[others[at:to]] != root[i])]
-                j = j[[7 * int(np.bitwise_count(_fold(bits[x], m) ^ bits[i]).sum()) <= size[i] + size[x] for x in j]] if len(j) else j
-                out_a.append(np.full(len(j), who[i]))
-                out_b.append(who[j])
-    a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    i = np.arange(len(who))
+    for step in range(1, len(who)):
+        i = i[i + step < len(who)]
+        i = i[(group[i] == group[i + step]) & (3 * size[i + step] <= 4 * size[i])]  # sizes ascend in a group
+        if not len(i):
+            break
+        j = i + step
+        use = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+        for m, place, levels in folded:
+            x = i[use & (np.minimum(width[i], width[j]) == m)]
+            for rows in levels:
+                y = x + step
+                x = x[7 * np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(1, dtype=np.int64) <= size[x] + size[y]]
+            out_a.append(who[x])
+            out_b.append(who[x + step])
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows sorted by lead, lo, hi and n_shingles; those of one of these keys are held together."""
+    held: list[pa.RecordBatch] = []
+    said = np.empty((2, 0), np.int64)  # pairs that were given, REMEMBERED at most; others are given again for each group
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        nonlocal said
+        a, b = _compared(table)
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        every, first = np.unique(np.hstack([said, found]), axis=1, return_index=True)
+        found = every[:, first >= said.shape[1]]
+        said = every if every.shape[1] <= REMEMBERED else found
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = np.stack([table[x].to_numpy() for x in ("lead", "lo", "hi")])
+        last = int(np.flatnonzero((keys != keys[:, -1:]).any(0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
+        if last:
+            yield pairs(table.slice(0, last))
+            held = table.slice(last).to_batches()
+    if held:
+        yield pairs(pa.Table.from_batches(held).combine_chunks())
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """members (lead, size, node, ...) with block, lo and hi: once for each pair of blocks of the group that holds the member's."""
+    blocks = F.ceil(F.col("size") / BLOCK_CLASSES).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    out = placed.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    return out.drop("blocks", "other")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,19 +354,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets really link; pairs come checkpointed."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = cut(wanted.join(nodes, "class").select(F.col("rep").alias("doc_id")))
+    wanted = cut(wanted.join(nodes.hint("merge"), "class").select(F.col("rep").alias("doc_id")))
     small = wanted.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "class long, shingles array<bigint>").dropDuplicates(["class"])
-    a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")).hint("merge")
+    b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")).hint("merge")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= 75 * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _near(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _near(edges: DataFrame, sketches: DataFrame) -> DataFrame:
     """Edges whose bitmaps don't rule a link out."""
-    side = lambda x: nodes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: sketches.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")).hint("merge")
     return edges.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").mapInArrow(_may_link, "a long, b long")
 
 
@@ -301,53 +378,62 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Rows link at 100 * intersection >= 75 * union. component_id is the least
     doc_id reachable. Null or empty text: 0 shingles, a component of its own.
     Null doc_id: kept, and first in the order. Repeated rows give repeated rows.
-    Other columns are ignored. An empty table gives an empty result.
+    Other columns are ignored. An empty table gives an empty result. A very long
+    text is hashed as a whole, in some 40 bytes a word.
     """
     docs = lean(docs).select("doc_id", "text")
     described = cut(docs.mapInArrow(_describe, "doc_id long, n_shingles long, class long, bits binary"))
-    nodes = cut(described.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")))
+    nodes = cut(described.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep")))
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(8, int(total * 0.45 * 16) // BUCKET_BYTES + 1)
+    parts = max(8, int(total * SIGNED * 9) // BUCKET_BYTES + 1)
     signed = docs.mapInArrow(_sign(parts), "part long, signs binary, classes binary")
     buckets = signed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<bigint>").dropDuplicates(["bucket"])
-    flat = cut(buckets).select("bucket", F.size("members").alias("size"), F.explode("members").alias("node"))
+    flat = cut(buckets).select("bucket", F.size("members").alias("size"), F.explode("members").alias("prefix"))
     # a bucket's leader is the member with the most company over all its buckets: in a group of
     # near copies that is the text they come from, which more of them are similar to
-    company = flat.groupBy("node").agg(F.sum("size").alias("company"))
-    flat = cut(flat.join(company, "node"))
-    lead = flat.groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
+    company = flat.groupBy("prefix").agg(F.sum("size").alias("company"))
+    named = nodes.select(F.shiftrightunsigned("class", 64 - PREFIX_BITS).alias("prefix"), F.col("class").alias("node"))
+    company = apart(company.join(named.hint("merge"), "prefix"))
+    flat = cut(flat.join(company, "prefix").drop("prefix"))
+    # bitmaps only of classes that share a bucket
+    sketches = described.select("class", "n_shingles", "bits").join(company.select(F.col("node").alias("class")), "class", "left_semi")
+    sketches = cut(sketches.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")))
+    lead = apart(flat.groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("a")))
     spokes = cut(flat.join(lead, "bucket").where("a <> node").groupBy("a", F.col("node").alias("b")).count())
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     links, found, tried = None, None, None
     for _ in range(STAR_ROUNDS):
         left = spokes
         if found is not None:
-            root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
-            either = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")).hint("merge")  # noqa: E731, B023
+            either = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).hint("merge")
             left = left.join(either, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
             left = left.where("coalesce(root_a, a) <> coalesce(root_b, b)")
         chosen = cut(left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if chosen.isEmpty():
             break
         tried = chosen if tried is None else tried.union(chosen)
-        new = cut(_verified(cut(_near(chosen, nodes)), docs, nodes))
+        new = cut(_verified(cut(_near(chosen, sketches)), docs, nodes))
         links = new if links is None else links.union(new)
         found = components(links)
     if links is None:
         links = tried = spokes.select("a", "b")  # no two classes share a signature
         found = components(links)
-    # a bucket whose members aren't all connected yet may hold other links
-    members = flat.select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
-    members = members.join(open_, "bucket", "left_semi")
-    members = members.join(nodes.select(F.col("class").alias("node"), "n_shingles", "bits"), "node")
-    rest = members.groupBy("bucket").applyInArrow(_apart, "a long, b long").distinct()
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    # a group whose members aren't all connected yet may hold other links
+    sizes = apart(spokes.groupBy(F.col("a").alias("lead")).agg((F.count("*") + 1).alias("size")))
+    groups = spokes.select(F.col("a").alias("lead"), F.col("b").alias("node")).union(sizes.select("lead", "lead")).join(sizes, "lead")
+    members = groups.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = members.groupBy("lead").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("lead")
+    open_ = apart(open_)
+    members = _block_pairs(members.join(open_, "lead", "left_semi")).join(sketches.withColumnRenamed("class", "node").hint("merge"), "node")
+    members = members.repartition("lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi", "n_shingles")
+    rest = members.mapInArrow(_apart, "a long, b long").distinct()
+    rest = cut(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"))
     found = components(links.union(cut(_verified(rest, docs, nodes))))
-    joined = nodes.join(found, nodes["class"] == found["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    joined = nodes.join(found.hint("merge"), nodes["class"] == found["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+    least = apart(joined.groupBy("root").agg(F.min("rep").alias("component_id")))
     of_class = joined.join(least, "root").select("class", "component_id")
-    out = described.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    out = described.select("doc_id", "n_shingles", "class").join(of_class.hint("merge"), "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
