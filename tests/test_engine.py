@@ -385,6 +385,10 @@ def test_scalars(spark):
     for x, r in zip(raw[:-1], got):
         assert r.h == fnv(x) and bytes(r.back) == x and len(r.s) % 3 == 0
     assert got[-1].h is None
+    ids = [r[0] for r in spark.createDataFrame([("users",), ("users",), ("orders",)], "n string").select(scalar.stable_id(F.col("n"))).collect()]
+    assert ids[0] == ids[1] != ids[2]
+    assert [r[0] for r in spark.range(5).select(scalar.size_bucket(F.col("id"))).collect()] == [0, 0, 1, 1, 2]
+    assert spark.range(1).select(scalar.hex_signature(F.lit(b"\x0f\xa0"))).first()[0] == "0fa0"
     broken = spark.createDataFrame([("0123", "3211")], "a string, b string").select(scalar.broken_positions(F.col("a"), F.col("b"))).first()[0]
     assert broken == [3]
     assert spark.createDataFrame([("abcab",), ("ab",), (None,)], "t string").select(scalar.trigrams(F.col("t"))).collect()[0][0] == ["abc", "bca", "cab"]
