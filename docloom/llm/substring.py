@@ -203,8 +203,8 @@ def _variant_of(start: str) -> Column:
     return F.shiftright(start, START_BITS)
 
 
-def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
-    """docs with doc and variant, which tell documents apart and order them, and the bytes of all texts.
+def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int, bool]:
+    """docs with doc and variant, which tell documents apart and order them; the bytes of all texts; whether a doc has several rows.
 
     doc is the doc_id; a null one is replaced by a number of the text's hash under
     all likely ids. variant is 0 unless the id is null or has several texts.
@@ -212,20 +212,21 @@ def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple
     digest = F.xxhash64(F.coalesce(text, F.lit("")))
     keyed = docs.withColumn("doc", F.coalesce(doc_id, F.lit(-(2**63)) + digest.bitwiseAND((1 << 61) - 1)))
     own = (F.shiftrightunsigned(digest, 32).bitwiseOR(F.lit(1))).alias("variant")
-    ids = cut(keyed.select("doc", digest.alias("h"), F.octet_length(text).alias("size")).groupBy("doc").agg((F.min("h") != F.max("h")).alias("several"), F.sum("size").alias("size")))
+    ids = cut(keyed.select("doc", digest.alias("h"), F.octet_length(text).alias("size")).groupBy("doc").agg((F.min("h") != F.max("h")).alias("several"), F.sum("size").alias("size"), F.count("*").alias("rows")))
     several = ids.where("several").select("doc", "several")
-    n, size = ids.agg(F.count(F.when(F.col("several"), 1)), F.sum("size")).first()
+    n, size, rows = ids.agg(F.count(F.when(F.col("several"), 1)), F.sum("size"), F.max("rows")).first()
+    size, repeated = size or 0, (rows or 0) > 1
     if not n:
-        return keyed.select("*", F.when(F.col(doc_id).isNull(), own).otherwise(F.lit(0).cast("long")).alias("variant")), size or 0
+        return keyed.select("*", F.when(F.col(doc_id).isNull(), own).otherwise(F.lit(0).cast("long")).alias("variant")), size, repeated
     marked = keyed.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc", "left")
-    return marked.select(*keyed.columns, F.when(F.col(doc_id).isNull() | F.col("several"), own).otherwise(F.lit(0).cast("long")).alias("variant")), size or 0
+    return marked.select(*keyed.columns, F.when(F.col(doc_id).isNull() | F.col("several"), own).otherwise(F.lit(0).cast("long")).alias("variant")), size, repeated
 
 
-def repeated_spans(texts: DataFrame, size: int, k: int = EDGE) -> DataFrame:
+def repeated_spans(texts: DataFrame, size: int, repeated: bool = True, k: int = EDGE) -> DataFrame:
     """(doc, variant, spans): for each document with repeats, the stretches (start, n edges, digest of the source's words).
 
     texts: doc, variant and text as placed() gives them, and any other columns;
-    size: their bytes. Rows of one document are never repeats of each other.
+    size: their bytes; repeated: whether a document may have several rows. Rows of one document are never repeats of each other.
     """
     parts = max(8, int(size / 6 * 7.5) // GROUP_BYTES + 1)
     filed = texts.select("doc", "variant", "text").mapInArrow(_file(parts, k), "part long, seeds binary, docs binary, starts binary, variants binary, sizes binary, marks binary, repeats binary")
@@ -239,7 +240,8 @@ def repeated_spans(texts: DataFrame, size: int, k: int = EDGE) -> DataFrame:
     wanted = wanted.groupBy("doc", _variant_of("start").alias("variant")).agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
     # all columns, so that the texts are dealt out once for this and for the caller's join
     read = texts.join(wanted.hint("shuffle_hash"), ["doc", "variant"]).mapInArrow(_digests(k), "source long, source_start long, n long, digest binary")
-    read = read.groupBy("source", "source_start", "n").agg(F.max("digest").alias("digest"))
+    if repeated:  # else no aggregate stands between the exchanges and the join, so that a source of many spans can be split
+        read = read.groupBy("source", "source_start", "n").agg(F.max("digest").alias("digest"))
     held = spans.join(read, ["source", "source_start", "n"])
     return held.groupBy("doc", _variant_of("start").alias("variant")).agg(F.collect_list(F.struct(F.col("start").bitwiseAND(START).alias("start"), "n", "digest")).alias("spans"))
 
@@ -279,8 +281,8 @@ def _removed(docs: DataFrame, k: int, digest: bool) -> DataFrame:
     """The columns of docs but for text as c0, c1, ..., and n_words, n_removed and kept."""
     rest = [c for c in docs.columns if c != "text"]
     named = lean(docs).select(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)], "text")
-    texts, size = placed(named, doc_id=f"c{rest.index('doc_id')}")
-    joined = texts.join(repeated_spans(texts, size, k).hint("shuffle_hash"), ["doc", "variant"], "left").drop("doc", "variant")
+    texts, size, repeated = placed(named, doc_id=f"c{rest.index('doc_id')}")
+    joined = texts.join(repeated_spans(texts, size, repeated, k).hint("shuffle_hash"), ["doc", "variant"], "left").drop("doc", "variant")
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(rest)), "n_words long, n_removed long, kept string"])
     return joined.mapInArrow(_kept(k, digest), schema)
