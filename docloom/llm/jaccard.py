@@ -396,8 +396,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     company = apart(company.join(named.hint("merge"), "prefix"))
     flat = cut(flat.join(company, "prefix").drop("prefix"))
     # bitmaps only of classes that share a bucket
-    sketches = described.select("class", "n_shingles", "bits").join(company.select(F.col("node").alias("class")), "class", "left_semi")
-    sketches = cut(sketches.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")))
+    sketches = described.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    sketches = cut(sketches.join(company.select(F.col("node").alias("class")), "class", "left_semi"))
     lead = apart(flat.groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("a")))
     spokes = cut(flat.join(lead, "bucket").where("a <> node").groupBy("a", F.col("node").alias("b")).count())
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
