@@ -81,7 +81,8 @@ def _windows(formed: DataFrame, widths: list[int], whole: bool = False) -> DataF
     def hashed(h: Column, i: Column, w: int) -> Column:
         """Hash of a window; of its values where all tokens are slots, which the first tells of most windows."""
         words = [F.get("words", i + k) for k in range(w)]
-        return F.when(reduce(lambda a, b: a & b, map(is_open, words)), F.xxhash64(F.lit(END), *words)).otherwise(F.xxhash64(*[F.get(h, i + k) for k in range(w)]))
+        none = reduce(lambda rest, t: is_open(t) & rest, reversed(words[:-1]), is_open(words[-1]))  # the first token decides most windows
+        return F.when(none, F.xxhash64(F.lit(END), *words)).otherwise(F.xxhash64(*[F.get(h, i + k) for k in range(w)]))
 
     rows = lambda h, w: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.struct(i.alias("at"), hashed(h, i, w).alias("h")))
     fits = lambda h, w: F.size(h) == w if whole and w < WINDOW else F.size(h) >= w
