@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import ctypes
 import functools
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,20 @@ def tidy() -> None:
         trim(0)
 
 
+_kept: dict[str, Callable[[], None]] = {}  # by operator: how to drop what it keeps in this process for its next task
+
+
+def take_turn(operator: str = "", drop: Callable[[], None] | None = None) -> None:
+    """A task of an operator starts in this process: what others kept for their next tasks goes. drop: how its own is to go."""
+    if others := [x for x in _kept if x != operator]:
+        for x in others:
+            _kept.pop(x)()
+        gc.collect()  # functions that were sent here hold themselves, and what they came with
+        tidy()
+    if drop:
+        _kept[operator] = drop
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finisher on 64-bit values; salt gives independent ones."""
     x = x + U((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -145,6 +160,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Rows in groups of about size bytes of text (one row at least) with their words."""
+    take_turn()
     for batch in batches:
         data, offsets = utf8(batch.column(text))
         at = 0

@@ -69,6 +69,7 @@ def _slots(grams: np.ndarray) -> list[np.ndarray]:
 
 
 def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    K.take_turn()
     for batch in batches:
         _, offsets = K.utf8(batch.column("text"))
         at = 0

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BLOCK_BYTES = 4 << 20  # text encoded at a time
 CACHED_WORDS = 800_000  # encodings kept from one block to the next
-RESIDENT_WORDS = 100_000  # and by the process from one partition to the next
+RESIDENT_WORDS = 100_000  # and by the process from one partition to the next, until another operator works in it
 CACHED_PAIRS = 500_000
 CACHED_STEPS = 1_000_000  # in the trie
 CACHED_LENGTH = 64  # characters of a word that is kept
@@ -70,6 +70,7 @@ class Pieces:
 
     def resident(self) -> Pieces:
         """The equal vocabulary that this process already works with, if there is one."""
+        K.take_turn("pieces", _resident.clear)
         return _resident.setdefault(hash((tuple(self.pieces), self.merging, self.unknown, self.control)), self)
 
     def reset(self) -> None:

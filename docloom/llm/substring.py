@@ -83,25 +83,40 @@ def _runs(doc: np.ndarray, start: np.ndarray, source: np.ndarray, source_start:
 def _repeats(key: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which places are the first of their key, or equal to it, and the runs of the others."""
     order = np.lexsort((start, doc, *key))
-    head = np.ones(len(order), bool)
-    if len(order):
-        head[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in key])
-    source = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    again = (doc[order] != doc[source]) | (start[order] != start[source])
-    at, source = order[again], source[again]
+    head = np.zeros(len(order), bool)
+    head[:1] = True
+    for x in key:
+        x = x[order]
+        head[1:] |= x[1:] != x[:-1]
+    rest, heads = np.flatnonzero(~head), np.flatnonzero(head)
+    at, source = order[rest], order[heads[np.searchsorted(heads, rest) - 1]]
+    again = (doc[at] != doc[source]) | (start[at] != start[source])
+    at, source = at[again], source[again]
     first = np.ones(len(doc), bool)
     first[at] = False
     return first, _runs(doc[at], start[at], doc[source], start[source])
 
 
+def _stretches(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers at, at + 1, ..., n of them, of each stretch."""
+    out = np.ones(n.sum(), np.int64)
+    ends = np.cumsum(n)[:-1]
+    out[:1] = at[:1]
+    out[ends] = at[1:] - at[:-1] - n[:-1] + 1
+    return np.cumsum(out, out=out)
+
+
 def _packed(marks: np.ndarray) -> bytes:
     """The lower 48 bits of each."""
     return marks.astype(np.uint32).tobytes() + (marks >> U(32)).astype(np.uint16).tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.uint32, n) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(U) << U(32)
+def _unpacked(raws: list[bytes], at: np.ndarray) -> np.ndarray:
+    """The marks at these places of all."""
+    sizes = [len(x) // 6 for x in raws]
+    low = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(raws, sizes)])[at]
+    high = np.concatenate([np.frombuffer(x, np.uint16, n, 4 * n) for x, n in zip(raws, sizes)])[at]
+    return low | high.astype(U) << U(32)
 
 
 def _file(parts: int, k: int):
@@ -113,27 +128,33 @@ def _file(parts: int, k: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            mark, seed, doc, start = (np.concatenate(x) for x in zip(*held))
+            columns = [list(x) for x in zip(*held)]
+            held.clear()  # each column's pieces go when it is made
+            mark, seed, doc, start = (np.concatenate(columns.pop(0)) for _ in range(4))
             first, repeats = _repeats((mark,), doc, start)
-            mark, seed, doc, start = mark[first], seed[first], doc[first], start[first]
+            mark = mark[first]
+            seed = seed[first]
+            doc = doc[first]
+            start = start[first]
             head = np.ones(len(mark), bool)
             head[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
             at = np.flatnonzero(head)
             if (n := np.diff(np.append(at, len(mark)))).max(initial=0) > LONGEST_UNIT:
                 at = np.concatenate([np.arange(a, a + m, LONGEST_UNIT) for a, m in zip(at, n)])
                 n = np.diff(np.append(at, len(mark)))
-            part = (K.mix(seed[at], 11) % U(parts)).astype(np.int64)
+            seed, doc, start = seed[at], doc[at], start[at]
+            part = (K.mix(seed, 11) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
-            marks = (mark & U((1 << MARK_BITS) - 1))[np.repeat(at[order], n[order]) + np.arange(len(mark)) - np.repeat(np.cumsum(n[order]) - n[order], n[order])]
+            marks = mark[_stretches(at[order], n[order])] & U((1 << MARK_BITS) - 1)
+            del mark, first, head
             ends = np.append(cuts, len(order))
             edge_ends = np.concatenate(([0], np.cumsum(n[order])))
             pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-            seed, doc, start = seed[at][order], doc[at][order], start[at][order]
-            packed = [b""] * len(cuts)
-            packed[0] = np.stack([x.astype(np.int64) for x in repeats]).tobytes()
+            seed, doc, start = seed[order], doc[order], start[order]
+            shown = np.array_split(np.stack([x.astype(np.int64) for x in repeats]), len(cuts), axis=1)  # over all parts, as any may have them
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[order][cuts]), pack(seed.astype(np.uint32)), pack(doc), pack((start & START).astype(np.int32)), pack((start >> START_BITS).astype(np.uint32)) if (start >> START_BITS).any() else pa.array([b""] * len(cuts), pa.binary()), pack(n[order].astype(np.uint16)), pa.array([_packed(marks[edge_ends[a] : edge_ends[b]]) for a, b in zip(ends, ends[1:])], pa.binary()), pa.array(packed, pa.binary())], fields
+                [pa.array(part[order][cuts]), pack(seed.astype(np.uint32)), pack(doc), pack((start & START).astype(np.int32)), pack((start >> START_BITS).astype(np.uint32)) if (start >> START_BITS).any() else pa.array([b""] * len(cuts), pa.binary()), pack(n[order].astype(np.uint16)), pa.array([_packed(marks[edge_ends[a] : edge_ends[b]]) for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([x.tobytes() for x in shown], pa.binary())], fields
             )
 
         for rows, words in K.blocks(batches):
@@ -159,7 +180,6 @@ def _first_places(table: pa.Table) -> pa.Table:
     if any(variants := table["variants"].to_pylist()):
         sizes = [len(x) // 8 for x in table["docs"].to_pylist()]
         start += np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) if x else np.zeros(m, np.int64) for x, m in zip(variants, sizes)]) << START_BITS
-    mark = np.concatenate([_unpacked(x) for x in table["marks"].to_pylist()])
     order = np.argsort(seed, kind="stable")
     same = np.zeros(len(seed), bool)
     same[1:] = seed[order][1:] == seed[order][:-1]
@@ -168,11 +188,10 @@ def _first_places(table: pa.Table) -> pa.Table:
     units = np.sort(order[shared])
     at = np.concatenate(([0], np.cumsum(n)))[units]
     n = n[units]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    mark = mark[np.repeat(at, n) + step]
-    _, found = _repeats((mark, np.repeat(seed[units], n)), np.repeat(doc[units], n), np.repeat(start[units], n) + step)
+    mark = _unpacked(table["marks"].to_pylist(), _stretches(at, n))
+    _, found = _repeats((mark, np.repeat(seed[units], n)), np.repeat(doc[units], n), _stretches(start[units], n))
     columns = [np.concatenate(x) for x in zip(found, *passed)]
-    del seed, doc, start, mark, order, same, shared, step, found, passed
+    del seed, doc, start, mark, order, same, shared, found, passed
     K.tidy()
     return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("doc", "start", "n", "source", "source_start"), columns)})
 

@@ -4,10 +4,13 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -167,6 +170,39 @@ def test_substring_dedup_is_exact(spark, monkeypatch, combine):
         assert r.kept == t if not r.n_removed else words(r.kept) == [x for j, x in enumerate(words(t)) if j not in gone[r.doc_id]]
 
 
+def test_filing_edges_takes_little_memory():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 30_000, 5_000))) for _ in range(130)]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(130)), "variant": [0] * 130, "text": texts})
+    list(substring._file(8, 20)(iter([batch.slice(0, 2)])))  # tables of powers
+    tracemalloc.start()
+    try:
+        rows = list(substring._file(8, 20)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    edges = sum(len(x) // 6 for b in rows for x in b.column("marks").to_pylist())
+    assert edges > 640_000
+    assert most < 84 * edges
+
+
+def test_repeats_of_blocks_are_dealt_over_the_parts(monkeypatch):
+    monkeypatch.setattr(substring, "COMBINE_BYTES", 1)
+    rng = np.random.default_rng(6)
+    batches = []
+    for i in range(20):
+        text = rng.integers(0, 10**6, 2_000).astype(str)
+        passages = [text[a : a + 25] for a in range(0, 2_000, 50)]
+        rows = [" ".join(text), " ".join(np.concatenate([np.append(x, "|") for x in passages]))]
+        batches.append(pa.RecordBatch.from_pydict({"doc": [2 * i, 2 * i + 1], "variant": [0, 0], "text": rows}))
+    shown = Counter()
+    for b in substring._file(16, 20)(iter(batches)):
+        for part, x in zip(b.column("part").to_pylist(), b.column("repeats").to_pylist()):
+            shown[part] += len(x) // 40
+    assert sum(shown.values()) == 20 * 40  # runs of edges
+    assert max(shown.values()) < 80
+
+
 def test_windows_under_one_mark_are_told_apart(spark, monkeypatch):
     """With marks of two bits most windows of a minimizer meet under one mark; none is removed that isn't a repeat."""
     monkeypatch.setattr(substring, "MARK_BITS", 2)
@@ -279,6 +315,20 @@ def test_pieces_of_a_text_without_spaces():
     assert np.frombuffer(vocabulary.encode_next(pieces.MARK + word[:50] + "z"), np.int32).tolist() == library.encode(word[:50] + "z")
 
 
+@pytest.mark.parametrize("other", ["jaccard", "substring", "language"])
+def test_what_pieces_keep_goes_when_another_operator_works(monkeypatch, other):
+    monkeypatch.setattr(pieces, "_resident", {})
+    sent = lambda f: cloudpickle.loads(cloudpickle.dumps(f))  # noqa: E731 as a worker gets it
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "variant": [0], "doc": [1], "text": ["a b ab"], "lang": ["en"]})
+    vocabulary = pieces.Pieces([("<unk>", 0.0), ("a", -1.0), ("b", -2.0), ("ab", -0.5), ("▁", -3.0)], {}, 0)
+    for _ in range(2):
+        list(sent(pieces._encode(vocabulary, False))(iter([batch.select(["doc_id", "text"])])))
+        assert len(pieces._resident) == 1  # the next task of the operator has it
+    run = {"jaccard": jaccard._describe, "substring": substring._file(8, 20), "language": language._count}[other]
+    list(sent(run)(iter([batch])))
+    assert not pieces._resident
+
+
 def test_scored_viterbi_against_brute_force():
     rng = random.Random(7)
     vocabulary = [("<unk>", 0.0)] + [(x, -rng.random() * 5) for x in ["a", "b", "c", "ab", "bc", "abc", "ca", "cab"]]
